@@ -32,6 +32,8 @@ WORD = re.compile(r"[A-Za-z]+")
 AT, DOT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)", r"(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+)"
 DISGUISE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|{DOT})[A-Za-z0-9_%+-]++)*?(?P<at>{AT}|@)[A-Za-z0-9-]++(?:(?:\.|{DOT})[A-Za-z0-9-]++)+")
 AT_RE, DOT_RE, BARE_AT = re.compile(rf"(?i){AT}"), re.compile(rf"(?i){DOT}"), re.compile(r"(?i)\s+at\s+\Z")
+#: What a domain must end in if all its disguises are bare words.
+TOP = frozenset("com net org edu gov info biz io co me ai dev app de fr es it uk nl eu ch at be pl se us ca au jp".split())
 
 Piece = tuple[int, int, str]
 
@@ -108,7 +110,8 @@ def spelled_digits(text: str) -> list[Piece]:
 
 
 def at_dot(text: str) -> list[Piece]:
-    """Disguised @ and dots of addresses. A bare word "at" counts only if a dot of its domain is disguised as well."""
+    """Disguised @ and dots of addresses. A bare word "at" counts only if a dot of its domain is disguised as well,
+    in brackets or before a common top-level domain."""
     low = text.lower()
     if "dot" not in low and not any(f"{a}at" in low or f"{a} at" in low for a in "[({<"):
         return []
@@ -116,7 +119,8 @@ def at_dot(text: str) -> list[Piece]:
     for m in DISGUISE.finditer(text):
         a, b = m.span("at")
         dots = [d for d in DOT_RE.finditer(text, m.start(), m.end())]
-        if BARE_AT.match(text[a:b]) and not any(d.start() >= b for d in dots):
+        last = re.split(r"[^A-Za-z0-9-]+", m[0])[-1].lower()
+        if BARE_AT.match(text[a:b]) and not any(d.start() >= b and (d[0].strip().lower() != "dot" or last in TOP) for d in dots):
             continue
         out += [(d.start(), d.end(), ".") for d in dots if d.end() <= a or d.start() >= b]
         if text[a:b] != "@":

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -25,7 +26,8 @@ from tidegraph.llm.common import map_batches
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 TOKEN = re.compile(r"\S+")
 #: Bits of evidence (nats) that keep a feature, and that make a token a labelled span.
-KEEP, SPAN = 5.0, 11.5
+KEEP, SPAN = 8.0, 11.5
+SPREAD = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 2869860233, 3624381081, 1540483477], np.uint64)
 
 
 def features_of(token: str) -> list[str]:
@@ -161,9 +163,26 @@ def full_pass(x: np.ndarray, mask: np.ndarray, bias: float, trans: np.ndarray) -
     return np.where(mask, both[..., 1] / np.maximum(both.sum(2), 1e-300), 0.0), pair, float(np.log(norm).sum())
 
 
-def fit(rows: list[tuple[str | None, int]], steps: int = 40, clean_docs: int = 1500) -> Crf:
-    """Fit the field and the document score on (text, toxic) rows, in any number; with one class only the score is its smoothed rate."""
-    texts, labels = [t or "" for t, _ in rows], np.array([1 if y else 0 for _, y in rows], int)
+def without_copies(rows: list[tuple[str | None, int]]) -> list[tuple[str, int]]:
+    """The rows less near copies of earlier ones (one of 8 minhashes of their 3-word shingles in common): a family of copies with one
+    label would make all its words look like evidence."""
+    seen, out = set(), []
+    for text, y in rows:
+        words = (text or "").lower().split()
+        h = np.unique(np.fromiter((zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))), np.uint64))
+        marks = {(k, int((h * m % np.uint64(4294967291)).min())) for k, m in enumerate(SPREAD)}
+        if not marks & seen:
+            out.append((text or "", y))
+        seen |= marks
+    return out
+
+
+def fit(rows: list[tuple[str | None, int]], steps: int = 40, clean_docs: int = 1500, segment: int = 64) -> Crf:
+    """Fit the field and the document score on (text, toxic) rows, in any number; with one class only the score is its smoothed rate.
+
+    The chain is fitted on segments of that many tokens: of all toxic documents, and of clean_docs others."""
+    rows = without_copies(rows)
+    texts, labels = [t for t, _ in rows], np.array([1 if y else 0 for _, y in rows], int)
     toxic = int(labels.sum())
     rate = (toxic + 0.5) / (len(rows) + 1)
     if not 0 < toxic < len(rows):
@@ -174,26 +193,30 @@ def fit(rows: list[tuple[str | None, int]], steps: int = 40, clean_docs: int = 1
     told = {f: e for f, a in seen[1].items() if (e := evidence(a, seen[0][f], rate)) >= KEEP}
     names = {f: k for k, f in enumerate(told)}
     clean = iter(range(clean_docs))
-    used = [k for k in np.argsort([-len(t) for t in texts], kind="stable") if texts[k].split() and (labels[k] or next(clean, None) is not None)]
-    tokens = [texts[k].split() for k in used]
-    used = [k for _, k in sorted(zip([-len(t) for t in tokens], used, strict=True))]
-    tokens.sort(key=len, reverse=True)
-    rows_, cols, feats, tags, mask = [], [], [], np.zeros((len(tokens[0]), len(tokens)), bool), np.zeros((len(tokens[0]), len(tokens)), bool)
+    parts = []
+    for text, y in zip(texts, labels, strict=True):
+        words = text.split()
+        if y or next(clean, None) is not None:
+            parts += [(words[k : k + segment], y) for k in range(0, len(words), segment)]
+    parts.sort(key=lambda x: -len(x[0]))
+    tags = np.zeros((segment, len(parts)), bool)
+    mask = np.arange(segment)[:, None] < np.array([len(x[0]) for x in parts])[None]
+    rows_, cols, feats = [], [], []
     memo: dict[str, tuple[list[int], bool]] = {}
-    for d, (k, words) in enumerate(zip(used, tokens, strict=True)):
-        mask[: len(words), d] = True
+    for d, (words, y) in enumerate(parts):
         for t, w in enumerate(words):
             if w not in memo:
                 fs = [f for f in features_of(w) if f in told]
                 memo[w] = [names[f] for f in fs], any(told[f] >= SPAN for f in fs)
             ids, strong = memo[w]
-            tags[t, d] = bool(strong and labels[k])
-            rows_ += [t] * len(ids)
-            cols += [d] * len(ids)
-            feats += ids
+            if ids:
+                tags[t, d] = bool(strong and y)
+                rows_ += [t] * len(ids)
+                cols += [d] * len(ids)
+                feats += ids
     rows_, cols, feats = (np.array(x, int) for x in (rows_, cols, feats))
     w, bias, trans = np.zeros(len(names)), -3.0, np.zeros((2, 2))
-    n, at = mask.sum(), [np.zeros(len(names)), 0.0, np.zeros((2, 2))]
+    at = [np.zeros(len(names)), 0.0, np.zeros((2, 2))]
     real = np.zeros((2, 2))
     for i in (0, 1):
         for j in (0, 1):
@@ -215,11 +238,20 @@ def fit(rows: list[tuple[str | None, int]], steps: int = 40, clean_docs: int = 1
     found = [events_of(t, cache) for t in texts]
     p = crf.marginals([f[0] for f in found], [f[1] for f in found], np.array([f[2] for f in found]))
     z = np.array([[1.0, math.log1p(float(q.sum())), float(q.max(initial=0.0))] for q in p])
-    theta = np.array([-4.0, 1.0, 1.0])
-    for _ in range(50):  # Newton steps with a small ridge
+    ridge = np.array([0.01, 0.05, 0.05])
+
+    def loss(v: np.ndarray) -> float:
+        return float(np.logaddexp(0, z @ v).sum() - labels @ (z @ v) + 0.5 * (ridge * v * v).sum())
+
+    theta = np.array([math.log(rate / (1 - rate)), 0.0, 0.0])
+    for _ in range(60):  # Newton steps, halved until the loss falls
         s = 1 / (1 + np.exp(-np.clip(z @ theta, -50, 50)))
-        h = (z * (s * (1 - s))[:, None]).T @ z + 0.05 * np.eye(3)
-        theta = theta + np.clip(np.linalg.solve(h, z.T @ (labels - s) - 0.05 * theta), -2, 2)
+        move = np.linalg.solve((z * (s * (1 - s))[:, None]).T @ z + np.diag(ridge), z.T @ (labels - s) - ridge * theta)
+        while np.abs(move).max() > 1e-6 and loss(theta + move) > loss(theta):
+            move = move / 2
+        if np.abs(move).max() <= 1e-6:
+            break
+        theta = theta + move
     crf.doc = tuple(float(x) for x in theta)
     return crf
 
