@@ -46,7 +46,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their piece ids, checked by decoding: doc_id, source, lang, n_chars, n_pieces, ids_sha256, round_trip."""
-    encoded = lattice.decode_ids(lattice.encode_texts(docs.withColumn("text", F.coalesce("text", F.lit(""))), model_path()), model_path())
+    encoded = lattice.encode_texts(docs.withColumn("text", F.coalesce("text", F.lit(""))), model_path(), decoded_col="decoded")
     return encoded.select(
         "doc_id", "lang", "source", "n_chars", F.size("piece_ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"),

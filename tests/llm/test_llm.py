@@ -425,14 +425,14 @@ def brute_viterbi(p, text):
 
 def test_lattice_encoding_and_decoding(spark, model):
     p = lattice.pieces_of(model)
-    texts = [(r["doc_id"], r["text"]) for r in rows(spark, "documents")][:60] + [(900, None), (901, ""), (902, " "), (903, "  a  "), (904, "😀\n\t▁x"), (905, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (906, "<s> </s> <0x41>"), (906, "é" * 300)]
+    texts = [(r["doc_id"], r["text"]) for r in rows(spark, "documents")][:60] + [(900, None), (901, ""), (902, " "), (903, "  a  "), (904, "😀\n\t▁x"), (907, "a\nb c\n\nd"), (908, "x \n y"), (909, " lead"), (910, "\n"), (911, "trail\n"), (912, "a\tb"), (905, "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (906, "<s> </s> <0x41>"), (906, "é" * 300)]
     for limit in (lattice.MAX_UNITS, 500):
-        got = lattice.decode_ids(lattice.encode_texts(docs(spark, texts), model, max_units=limit), model).collect()
+        got = lattice.decode_ids(lattice.encode_texts(docs(spark, texts), model, decoded_col="back", max_units=limit), model).collect()
         assert len(got) == len(texts)
         want = {(i, t): brute_viterbi(p, t) for i, t in texts}
         for r in got:
             assert r.piece_ids == want[r.doc_id, r.text]
-            assert r.decoded == (r.text or "").replace("▁", " ")
+            assert r.decoded == (r.text or "").replace("▁", " ") and (r.back or "") == r.decoded
             assert (r.id, r.name, r.n) == ("x", "y", 1)
     assert lattice.encode_texts(docs(spark, []), model).count() == 0
 

@@ -33,12 +33,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, max_bytes: int = 8 << 20) -> DataFrame:
     """mapInArrow whose batches are cut so that one holds at most a few MB of text."""
-    return df.mapInArrow(lambda batches: fn(small_batches(batches)), schema)
+    return df.mapInArrow(lambda batches: fn(small_batches(batches, max_bytes)), schema)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of each batch with about max_bytes (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

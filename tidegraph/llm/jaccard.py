@@ -6,9 +6,11 @@
    texts, and verified pairs make the groups (their components). So a family of near copies is a group, linked through a few pivots
    by a few comparisons a member.
 3. The token-group matrix holds, for each group, the union of its members' prefix tokens, with the least and greatest set size. Prefix:
-   under a total order of tokens, the first |q| - ceil(t|q|) + 1 of a set; with c of them in the union of a group, no member of it
-   shares more than c + ceil(t|q|) - 1 tokens with q, so only groups with c > 0 and a fitting size can hold a partner. Any total order
-   is right; tokens that repeat within batches come last in ours, so that shared passages and boilerplate open no groups.
+   under a total order of tokens, the first |q| - ceil(t|q|) + e(|q|) of a set, e(n) = max(1, 15 n / 100). A partner x shares
+   min(e(|q|), e(|x|)) prefix tokens with q at least, and |x| >= ceil(t|q|), so only groups whose union holds e(ceil(t|q|)) of q's prefix
+   tokens, and whose sizes fit, can hold one. Any total order is right; ours has last what a counting sketch of all tokens
+   finds more often than chance, so that shared passages and boilerplate open few groups: a token among the first is in some
+   6 sqrt(N / 2^22) sets of N tokens at most, and the rows that it brings about grow in proportion to N.
 4. A query opens the qualifying groups other than its own, and whole texts decide each pair. Members of one group are linked already.
 5. Components: smallest label over links, with pointer jumping; all state in tables of the shared folder.
 
@@ -25,21 +27,23 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import map_batches, stored
 
-BANDS, ROWS, HEAVY = 8, 3, 1 << 18
+BANDS, ROWS = 8, 3
+#: Counters of the token sketch, and of each part of it that a row holds.
+WIDTH, PART = 1 << 22, 1 << 16
 #: Ids to which a broadcast is limited (8 bytes each); above, Spark joins by shuffle.
 BROADCAST_IDS = 1 << 20
+#: Percent of its size by which a set's prefix is longer than the least one, and that it shares there with a partner.
+EXTRA = 15
+BATCH = 4 << 20
 _rng = np.random.default_rng(20240229)
-MIX = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class WordHash(dict):
-    """64-bit hash of each word met; emptied when it holds too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+MIX = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLACE = _rng.integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE[65:91] = BYTE[97:123]  # A-Z as a-z
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+BYTE[SPACE] = 0
+EDGES = np.array([k * (1 << 64) // (BANDS * ROWS) for k in range(BANDS * ROWS)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -47,18 +51,43 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, size: int, memo: WordHash) -> np.ndarray:
-    """Sorted distinct hashes of the text's word shingles; words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. Fewer words: one shingle of all."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
-    k = min(size, n)
-    out = np.full(n - k + 1, np.uint64(k))
-    for i in range(k):
-        out = mixed(out * MIX[i] + h[i : n - k + 1 + i])
-    return np.unique(out)
+def word_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words [^\x20\x09-\x0D]+ (A-Z lower-cased) of an Arrow array, and the first word of each text, then their
+    number. A word's hash sums its bytes' random values times those of their places, so it is taken from the buffer in one sweep."""
+    at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    gap = SPACE[data]
+    before = np.ones(len(data), bool)
+    before[1:] = gap[:-1]
+    before[at[:-1][at[:-1] < len(data)]] = True
+    starts = np.flatnonzero(before & ~gap)
+    first = np.searchsorted(starts, at)
+    if not len(starts):
+        return np.zeros(0, np.uint64), first
+    sizes = np.diff(starts, append=len(data))
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, sizes)
+    values = BYTE[data[starts[0] :]] * PLACE[place & 1023]
+    if sizes.max() > 1024:
+        values *= (place >> 10).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    return mixed(np.add.reduceat(values, starts - starts[0])), first
+
+
+def shingle_sets(texts: pa.StringArray, size: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles; a text of fewer words has one shingle of all, one without words none."""
+    h, first = word_hashes(texts)
+    k = len(h) - size + 1
+    rolled = mixed(sum(h[i : k + i] * MIX[i % 16] for i in range(size))) if k > 0 else h[:0]
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a < size:
+            out.append(mixed(np.array([(h[a:b] * MIX[[i % 16 for i in range(b - a)]]).sum() + np.uint64(b - a)], np.uint64)) if b > a else h[:0])
+            continue
+        s = np.sort(rolled[a : b - size + 1])
+        keep = np.ones(len(s), bool)
+        np.not_equal(s[1:], s[:-1], out=keep[1:])
+        out.append(s if keep.all() else s[keep])
+    return out
 
 
 def name_of(s: np.ndarray) -> int:
@@ -67,7 +96,8 @@ def name_of(s: np.ndarray) -> int:
 
 
 def bands_of(s: np.ndarray) -> list[int]:
-    low = np.array([(s * MIX[8 + i] >> np.uint64(1)).min() for i in range(BANDS * ROWS)], np.uint64).reshape(BANDS, ROWS)
+    """Keys of the bands of a one-permutation minhash: of each slice of the hash range the first token, or the next one around."""
+    low = s[np.searchsorted(s, EDGES) % len(s)].reshape(BANDS, ROWS)
     return [int(xxhash.xxh3_64_intdigest(low[b].tobytes(), seed=b)) - (1 << 63) for b in range(BANDS)]
 
 
@@ -76,68 +106,113 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def spare(n: int, percent: int) -> int:
+    """How many prefix tokens a set of n shares at least with any partner not smaller."""
+    return max(1, n * EXTRA // 100)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def signatures(rows: DataFrame, size: int) -> DataFrame:
-    """id, n, name, bands; the tokens that repeat within a batch come with its first row."""
+    """id, n, name, bands of each row; at its end each task adds rows with the parts of its token sketch (part, counts)."""
+    names = ["id", "n", "name", "bands", "part", "counts"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def run(batches):
-        memo = WordHash()
+        sketch = np.zeros(WIDTH, np.int64)
         for batch in batches:
-            sets = [shingles(t, size, memo) for t in batch.column("text").to_pylist()]
-            tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = counts >= 4
-            repeated = [{"token": t, "n": c} for t, c in zip(tokens[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([name_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bands_of(s) if len(s) else [] for s in sets], pa.list_(pa.int64())), pa.array([repeated] + [[]] * (len(sets) - 1), pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())])))],
-                names=["id", "n", "name", "bands", "repeated"],
-            )
+            sets = shingle_sets(batch.column("text"), size)
+            sketch += np.bincount(counter_of(np.concatenate(sets)), minlength=WIDTH)
+            k = len(sets)
+            columns = [batch.column("id"), [len(s) for s in sets], [name_of(s) if len(s) else None for s in sets], [bands_of(s) if len(s) else [] for s in sets], [None] * k, [None] * k]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        parts = [k for k in range(WIDTH // PART) if sketch[k * PART : (k + 1) * PART].any()]
+        for k in parts:
+            data = sketch[k * PART : (k + 1) * PART].astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, k, data), types, strict=True)], names=names)
+
+    return map_batches(rows, run, "id long, n long, name long, bands array<long>, part int, counts binary", BATCH)
 
-    return map_batches(rows, run, "id long, n long, name long, bands array<long>, repeated array<struct<token:long,n:long>>")
+
+def counter_of(tokens: np.ndarray) -> np.ndarray:
+    return ((tokens * MIX[9]) >> np.uint64(42)).astype(np.int64)
+
+
+def token_classes(sketches: DataFrame) -> np.ndarray:
+    """Of each counter of the summed sketch (all tokens of all rows) a class: 0 up to chance, else by its magnitude. Tasks add up the
+    rows of a part as they stream; the driver gets WIDTH bytes."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(data, "<i4").astype(np.int64)
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "sums"])
+
+    summed = stored(map_batches(sketches.repartition(WIDTH // PART, "part"), run, "part int, sums binary"), "sketch")
+    total = summed.select(F.col("part")).count()
+    if not total:
+        return np.zeros(WIDTH, np.uint8)
+    counts = np.zeros(WIDTH, np.int64)
+    for row in summed.toLocalIterator():
+        counts[row.part * PART : (row.part + 1) * PART] = np.frombuffer(row.sums, np.int64)
+    mean = counts.mean()
+    over = counts - mean
+    return np.where(over > 6 * np.sqrt(mean) + 4, 1 + 4 * np.log2(np.maximum(over, 1)), 0).astype(np.uint8)
+
+
+class Seen(set):
+    """Names that a task has met, emptied when they are many: copies met again need not be sent again."""
+
+    def new(self, name: int) -> bool:
+        if name in self:
+            return False
+        if len(self) >= 500_000:
+            self.clear()
+        self.add(name)
+        return True
 
 
-def prefixes(rows: DataFrame, size: int, percent: int, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """name, n, token for the prefix tokens of each set; heavy: sorted tokens that come last, by their counts."""
+def prefixes(rows: DataFrame, size: int, percent: int, classes: np.ndarray) -> DataFrame:
+    """token, name for the prefix tokens of each set, under the order by class, then token."""
 
     def run(batches):
-        memo = WordHash()
+        seen = Seen()
         for batch in batches:
-            names, sizes, parts = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, size, memo)
-                if not len(s):
+            names, parts = [], []
+            for s in shingle_sets(batch.column("text"), size):
+                if not len(s) or not seen.new(name := name_of(s)):
                     continue
-                p = len(s) - needed(len(s), percent) + 1
-                if len(heavy):
-                    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-                    weight = np.where(heavy[at] == s, counts[at], 0)
-                    first = s[np.lexsort((s, weight))[:p]] if weight.any() else s[:p]
-                else:
-                    first = s[:p]
-                names.append(name_of(s))
-                sizes.append(len(s))
+                p = len(s) - needed(len(s), percent) + spare(len(s), percent)
+                kind = classes[counter_of(s)]
+                first = s[kind == 0][:p]
+                if len(first) < p:
+                    rest = np.flatnonzero(kind)
+                    first = np.concatenate([first, s[rest[np.lexsort((s[rest], kind[rest]))[: p - len(first)]]]])
+                names.append(name)
                 parts.append(first)
             if parts:
-                reps = [len(x) for x in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), reps)), pa.array(np.repeat(np.array(sizes, np.int32), reps)), pa.array(np.concatenate(parts).view(np.int64))], names=["name", "n", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(names, np.int64), [len(x) for x in parts]))], names=["token", "name"])
 
-    return map_batches(rows, run, "name long, n int, token long")
+    return map_batches(rows, run, "token long, name long", BATCH)
 
 
 def named_texts(rows: DataFrame, names: DataFrame, size: int) -> DataFrame:
     """name, text of one document of each of the names."""
 
     def run(batches):
-        memo = WordHash()
+        seen = Seen()
         for batch in batches:
-            got = [(name_of(s), t) for t in batch.column("text").to_pylist() if len(s := shingles(t, size, memo))]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], names=["name", "text"])
+            got = [name_of(s) if len(s) else None for s in shingle_sets(batch.column("text"), size)]
+            keep = [k for k, name in enumerate(got) if name is not None and seen.new(name)]
+            yield pa.RecordBatch.from_arrays([pa.array([got[k] for k in keep], pa.int64()), batch.column("text").take(pa.array(keep, pa.int64()))], names=["name", "text"])
 
     few = names.count() <= BROADCAST_IDS
-    return map_batches(rows, run, "name long, text string").join(F.broadcast(names) if few else names, "name", "left_semi").dropDuplicates(["name"])
+    return map_batches(rows, run, "name long, text string", BATCH).join(F.broadcast(names) if few else names, "name", "left_semi").dropDuplicates(["name"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -146,16 +221,12 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     both = left.join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
-        memo, last = WordHash(), (None, None)
         for batch in batches:
-            a, b, ok = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for y, ta, tb in zip(b, batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if last[0] != y:
-                    last = (y, shingles(tb, size, memo))
-                ok.append(similar(shingles(ta, size, memo), last[1], percent))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, ok, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(b, ok, strict=True) if k], pa.int64())], names=["a", "b"])
+            sets = zip(shingle_sets(batch.column("text_a"), size), shingle_sets(batch.column("text_b"), size), strict=True)
+            ok = pa.array([similar(a, b, percent) for a, b in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
-    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long")
+    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long", BATCH)
 
 
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -207,12 +278,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     rooted = components(light, stars).select("name", "root")
     groups = stored(nodes.select("name", "n").join(rooted, "name", "left").select("name", "n", F.coalesce("root", "name").alias("grp")), "groups")
 
-    often = signed.select(F.explode("repeated").alias("r")).groupBy("r.token").agg(F.sum("r.n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).toArrow()
-    order = np.argsort(often["token"].to_numpy().view(np.uint64))
-    heavy, counts = often["token"].to_numpy().view(np.uint64)[order], often["n"].to_numpy()[order]
-    tokens = prefixes(rows, size, percent, heavy, counts)
+    tokens = prefixes(rows, size, percent, token_classes(signed.where("part is not null").select("part", "counts")))
     by_token = Window.partitionBy("token")
-    shared = tokens.select("token", "name").withColumn("lo", F.min("name").over(by_token)).withColumn("hi", F.max("name").over(by_token)).where("lo <> hi").select("token", "name")
+    shared = tokens.withColumn("lo", F.min("name").over(by_token)).withColumn("hi", F.max("name").over(by_token)).where("lo <> hi").select("token", "name")
     shared = stored(shared.join(groups, "name").select("token", "name", "n", "grp").distinct(), "shared")
     matrix = shared.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     crossing = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
@@ -221,12 +289,13 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     opened = (
         queries.join(matrix.withColumnRenamed("grp", "other"), "token")
         .where((F.col("grp") < F.col("other")) & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("least") * percent <= F.col("n") * 100))
-        .select(F.col("name").alias("a"), F.col("n").alias("na"), "other").distinct()
+        .groupBy(F.col("name").alias("a"), F.col("n").alias("na"), "other").agg(F.count(F.lit(1)).alias("common"))
+        .where(F.col("common") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("na") * percent / 100) * EXTRA / 100)))
     )
     members = groups.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("other"))
     pairs = stored(opened.join(members, "other").where(fits).select("a", "b"), "pairs")
     late = stored(named_texts(rows, stored(ends(pairs), "late"), size), "late-texts")
     crossed = verified(pairs, late, size, percent)
     least = components(light, stars.union(crossed)).select("name", "least")
-    return signed.select("id", "n", "name").join(least, "name", "left").join(light.select("name", F.col("id").alias("own")), "name", "left").select(
+    return signed.where("part is null").select("id", "n", "name").join(least, "name", "left").join(light.select("name", F.col("id").alias("own")), "name", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "own", "id").alias("component_id"))

@@ -13,8 +13,8 @@ Documents are then encoded from the table of units. Tasks read it as a compact a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,8 @@ class Pieces:
         self.inside = {p[k : k + 2] for p in self.text.values() for k in range(len(p) - 1)}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.text.values()):
             raise ValueError("a piece crosses the start of a word")
-        breaks = "".join(c for c in "\n\t" if not any(c in p for p in self.text.values()))
+        breaks = "".join(c for c in "\n" if not any(c in p for p in self.text.values()))
+        self.lines, self.break_ch = "\n" in breaks, "\n"
         self.words = re.compile(rf"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + (f"|[{breaks}]" if breaks else ""))
 
     def units(self, word: str) -> list[str]:
@@ -88,58 +89,97 @@ def normalised(text: str | None) -> str:
     return (SPACE + text.replace(" ", SPACE)) if text else ""
 
 
-def distinct_units(texts: DataFrame, model_path: str, most: int = 400_000) -> DataFrame:
-    """unit, n: the units of texts.text with their numbers of occurrences; counted per task first."""
+def single_spaced(text: str, p: Pieces) -> bool:
+    """Whether each space stands alone between two words of one line, so that lines and spaces alone cut the text into words."""
+    return p.lines and not ("  " in text or SPACE in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " ")
+
+
+def words_in(text: str, p: Pieces) -> tuple[list[str], list[str]]:
+    """Words of one line's start (as they are) and words after a space (without it); texts with runs of spaces or with the space
+    piece itself go by the general pattern, all into the first."""
+    if not single_spaced(text, p):
+        return p.words.findall(normalised(text)), []
+    bare, spaced = [], []
+    for line in (" " + text).split("\n"):
+        first, *rest = line.split(" ")
+        if first:
+            bare.append(first)
+        spaced += rest
+    return bare, spaced
+
+
+def distinct_units(texts: DataFrame, model_path: str, most: int = 200_000) -> DataFrame:
+    """unit, n: the units of texts.text, n being in how many portions of the tasks' words they were; distinct per portion first."""
 
     def run(batches):
-        p, words, units = pieces_of(model_path), Counter(), {}
+        p = pieces_of(model_path)
+        bare, spaced, done, units = set(), set(), set(), set()
 
         def flush():
-            for w, n in words.items():
-                for u in p.units(w):
-                    units[u] = units.get(u, 0) + n
-            words.clear()
-            got = pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], names=["unit", "n"])
+            fresh = (bare | {SPACE + w for w in spaced}) - done
+            for w in fresh:
+                units.update(p.units(w))
+            if len(done) > most:
+                done.clear()
+            done.update(fresh)
+            bare.clear()
+            spaced.clear()
+            got = pa.RecordBatch.from_arrays([pa.array(list(units), pa.string())], names=["unit"])
             units.clear()
             return got
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                words.update(p.words.findall(normalised(text)))
-            if len(words) >= most:
+                if text:
+                    a, b = words_in(text, p)
+                    bare.update(a)
+                    spaced.update(b)
+            if len(bare) + len(spaced) >= most:
                 yield flush()
-        if words:
-            yield flush()
+        bare.update([p.break_ch] if p.lines else [])
+        yield flush()
 
-    return map_batches(texts, run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return map_batches(texts, run, "unit string").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
 
 
 def encode_units(units: DataFrame, model_path: str) -> DataFrame:
-    """unit, n, ids of each distinct unit: explode, equi-join, group, fold; all native. units must hold each unit once."""
+    """unit, n, ids of each distinct unit: explode, equi-join, group, fold; all native. units must hold each unit once.
+
+    How many lengths are exploded at a start follows from its first three characters (no longer piece begins so). An edge is one
+    long: end, length (the longest first) and id; scores are looked up by id.
+    """
     spark = units.sparkSession
     p = pieces_of(model_path)
-    table = spark.createDataFrame(p.rows, "id int, piece string, score double")  # as large as the model's vocabulary
+    table = spark.createDataFrame([(i, t) for i, t, _ in p.rows], "id int, piece string")  # as large as the model's vocabulary
+    reach: dict[str, int] = {}
+    for _, t, _ in p.rows:
+        reach[t[:3]] = max(len(t), reach.get(t[:3], 0))
+    reaches = spark.createDataFrame([(k, n) for k, n in reach.items() if len(k) == 3], "head string, reach int")
     starts = units.where("unit <> ''").select("unit", "n", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("start"))
-    length = F.least(F.lit(p.longest), F.char_length("unit") - F.col("start"))
-    spans = starts.select("unit", "n", "start", F.explode(F.sequence(F.lit(1), length)).alias("len"))
+    starts = starts.withColumn("head", F.substring(F.col("unit"), F.col("start") + 1, F.lit(3))).join(F.broadcast(reaches), "head", "left")
+    spans = starts.select("unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(2)), F.char_length("unit") - F.col("start")))).alias("len"))
     spans = spans.select("unit", "n", "start", "len", F.substring(F.col("unit"), F.col("start") + 1, F.col("len")).alias("piece"))
     found = spans.join(F.broadcast(table), "piece", "left").where("id is not null or len = 1")
-    edge = F.struct((F.col("start") + F.col("len")).alias("end"), F.col("start").alias("start"), F.coalesce("id", F.lit(p.unk_id)).alias("id"), F.coalesce("score", F.lit(p.unk_score)).alias("score"))
+    edge = F.shiftleft((F.col("start") + F.col("len")).cast("long"), 32) + F.shiftleft((F.lit(255) - F.col("len")).cast("long"), 24) + F.coalesce("id", F.lit(p.unk_id))
     lattice = found.groupBy("unit", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    node = "named_struct('score', {s}, 'back', {b}, 'id', {i})"
-    zero = node.format(s="cast(0 as double)", b="0", i="0")
+    scores = np.full(max(i for i, _, _ in p.rows) + 1, p.unk_score)
+    for i, _, score in p.rows:
+        scores[i] = score
+    lattice = lattice.withColumn("scores", F.lit(scores.tolist()).cast("array<double>"))
+    node = "named_struct('score', {s}, 'edge', {e})"
     # state: nodes of all ends before the current one, and the best node of the current end
+    ends, back, gain = "cast(shiftright(e, 32) as int)", "cast(shiftright(e, 32) - 255 + (shiftright(e, 24) & 255) as int)", "scores[cast(e & 16777215 as int)]"
     fold = f"""
-      aggregate(edges, named_struct('done', cast(array() as array<struct<score:double,back:int,id:int>>), 'end', 0, 'best', {zero}),
-        (s, e) -> case when e.end = s.end
-          then named_struct('done', s.done, 'end', s.end, 'best', case when s.done[e.start].score + e.score > s.best.score
-            then named_struct('score', s.done[e.start].score + e.score, 'back', e.start, 'id', e.id) else s.best end)
-          else named_struct('done', concat(s.done, array(s.best)), 'end', e.end, 'best',
-            named_struct('score', (case when e.start = s.end then s.best.score else s.done[e.start].score end) + e.score, 'back', e.start, 'id', e.id)) end,
-        s -> concat(s.done, array(s.best)))"""
+      aggregate(edges, named_struct('done', cast(array() as array<struct<score:double,edge:bigint>>), 'end', 0, 'best', {node.format(s="cast(0 as double)", e="0L")}),
+        (s, e) -> case when {ends} = s.end
+          then named_struct('done', s.done, 'end', s.end, 'best', case when s.done[{back}].score + {gain} > s.best.score
+            then {node.format(s=f"s.done[{back}].score + {gain}", e="e")} else s.best end)
+          else named_struct('done', concat(s.done, array(s.best)), 'end', {ends}, 'best',
+            {node.format(s=f"(case when {back} = s.end then s.best.score else s.done[{back}].score end) + {gain}", e="e")}) end,
+        s -> transform(concat(s.done, array(s.best)), x -> x.edge))"""
     path = """
-      aggregate(sequence(1, size(nodes)), named_struct('at', size(nodes) - 1, 'ids', cast(array() as array<int>)),
-        (s, k) -> case when s.at = 0 then s else named_struct('at', nodes[s.at].back, 'ids', concat(array(nodes[s.at].id), s.ids)) end,
+      aggregate(nodes, named_struct('at', size(nodes) - 1, 'ids', cast(array() as array<int>)),
+        (s, k) -> case when s.at = 0 then s else named_struct('at', s.at - 255 + cast(shiftright(nodes[s.at], 24) & 255 as int), 'ids', concat(array(cast(nodes[s.at] & 16777215 as int)), s.ids)) end,
         s -> s.ids)"""
     return lattice.select("unit", "n", F.expr(fold).alias("nodes")).select("unit", "n", F.expr(path).alias("ids"))
 
@@ -150,7 +190,7 @@ class UnitTable:
     def __init__(self, path: str):
         files, base = pafs.FileSystem.from_uri(path)
         hashes, ids, sizes = [], [], []
-        for batch in pads.dataset(base, filesystem=files, format="parquet").to_batches(columns=["unit", "ids"]):
+        for batch in pads.dataset(base, filesystem=files, format="parquet").to_batches(columns=["unit", "ids"], use_threads=False, batch_readahead=1, fragment_readahead=1):
             hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(u) for u in batch.column("unit").to_pylist()), np.uint64, batch.num_rows))
             col = batch.column("ids")
             ids.append(col.flatten().to_numpy().astype(np.int32))
@@ -177,32 +217,71 @@ def unit_table(path: str) -> UnitTable:
 class Encoder(dict):
     """Ids of each word met, from the table of units and a document's own other units; emptied when it holds too many."""
 
-    def __init__(self, pieces: Pieces, head: UnitTable):
-        self.p, self.head, self.rest = pieces, head, {}
+    def __init__(self, pieces: Pieces, head: UnitTable, most: int = 200_000):
+        self.p, self.head, self.most, self.rest = pieces, head, most, {}
+        self.raw = {i: t.encode() for i, t in pieces.text.items()} | {i: bytes([b]) for i, b in pieces.value.items()}
+        self.after = AfterSpace(self)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
-            self.clear()
+    def ids(self, word: str) -> tuple[tuple[int, ...], bool]:
         out, own = [], False
         for u in self.p.units(word):
-            ids = self.head.get(u)
-            if ids is None:
-                own, ids = True, self.rest[u]
-            out += self.p.spell(u, ids)
+            got = self.head.get(u)
+            if got is None:
+                own, got = True, self.rest[u]
+            out += self.p.spell(u, got)
+        return tuple(out), own
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > self.most:
+            self.clear()
+        out, own = self.ids(word)
         if not own:
-            self[word] = tuple(out)
-        return tuple(out)
+            self[word] = out
+        return out
 
-    def encode(self, text: str | None, rest: dict[str, list[int]]) -> list[int]:
+    def encode(self, text: str | None, rest: dict[str, list[int]]) -> np.ndarray:
+        """A line's first word has no space before it, the others have one; other texts go by the general pattern."""
+        if not text:
+            return np.zeros(0, np.int32)
         self.rest = rest
-        return [i for w in map(self.__getitem__, self.p.words.findall(normalised(text))) for i in w]
+        p = self.p
+        if not single_spaced(text, p):
+            return np.fromiter(chain.from_iterable(map(self.__getitem__, p.words.findall(normalised(text)))), np.int32)
+        parts = []
+        for k, line in enumerate((" " + text).split("\n")):
+            first, *others = line.split(" ")
+            if k:
+                parts.append(self["\n"])
+            if first:
+                parts.append(self[first])
+            parts += map(self.after.__getitem__, others)
+        return np.fromiter(chain.from_iterable(parts), np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+
+
+class AfterSpace(dict):
+    """The same for words whose leading space is not written."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > self.encoder.most:
+            self.clear()
+        out, own = self.encoder.ids(SPACE + word)
+        if not own:
+            self[word] = out
+        return out
 
 
-def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids", max_units: int = MAX_UNITS) -> DataFrame:
-    """docs with a further column ids_col (array<int>); a column of that name must not exist. Null and empty texts have no ids;
+def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str | None = None, max_units: int = MAX_UNITS) -> DataFrame:
+    """docs with a further column ids_col (array<int>), and with decoded_col (the text that the ids give) if asked for; columns of these
+    names must not exist. Null and empty texts have no ids;
     repeated rows get equal ids; an empty table gives no rows; all other columns stay as they are."""
-    if ids_col in docs.columns:
-        raise ValueError(f"column {ids_col} exists")
+    if clash := {ids_col, decoded_col} & set(docs.columns):
+        raise ValueError(f"columns exist: {clash}")
     texts = docs.select(F.col(text_col).alias("text"))
     spark: SparkSession = docs.sparkSession
     conf, limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
@@ -234,12 +313,16 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
         encoder = Encoder(pieces_of(model_path), unit_table(path)) if path else None
         for batch in batches:
             rest = [{r["unit"]: r["ids"] for r in x or ()} for x in batch.column("rest").to_pylist()]
-            ids = [encoder.encode(t, r) if t else [] for t, r in zip(batch.column("text").to_pylist(), rest, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
+            texts = batch.column("text").to_pylist()
+            ids = [encoder.encode(t, r) if t else np.zeros(0, np.int32) for t, r in zip(texts, rest, strict=True)]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            decoded = [None if t is None or decoded_col is None else encoder.decode(i) if t else "" for t, i in zip(texts, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())], names=["row", "ids", "decoded"])
 
     kept = rows.select("row", "text", "rest")
-    out = map_batches(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, ids array<int>")
-    return out.select(*[F.col("row")[f"f{k}"].alias(c) for k, c in enumerate(fields)], F.col("ids").alias(ids_col))
+    out = map_batches(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, ids array<int>, decoded string", 4 << 20)
+    more = [F.col("decoded").alias(decoded_col)] if decoded_col else []
+    return out.select(*[F.col("row")[f"f{k}"].alias(c) for k, c in enumerate(fields)], F.col("ids").alias(ids_col), *more)
 
 
 def decode_ids(encoded: DataFrame, model_path: str, ids_col: str = "piece_ids", text_col: str = "decoded") -> DataFrame:

@@ -57,7 +57,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, n_pieces, ids_sha256 (ids comma-joined), decoded_sha256 (of the decoded text: equals the text's own), round_trip."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = lattice.decode_ids(lattice.encode_texts(docs, model_path()), model_path())
+    both = lattice.encode_texts(docs, model_path(), decoded_col="decoded")
     return both.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.size("piece_ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"),
