@@ -266,7 +266,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     light = nodes.select("name", "id")
 
     bands = nodes.select("name", F.explode("bands").alias("band"))
-    pivots = bands.groupBy("band").agg(F.min("name").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    # the pivot of a band is the node that shares its bands with most others: of a family, the text that its members were made from
+    full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    degree = bands.join(full, "band").groupBy("name").agg(F.sum("k").alias("degree"))
+    pivots = bands.join(degree, "name").groupBy("band").agg(F.max_by("name", F.struct("degree", "name")).alias("b"))
     sizes = nodes.select("name", "n")
     proposed = bands.join(pivots, "band").where("name <> b").select(F.col("name").alias("a"), "b").distinct()
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
