@@ -108,18 +108,19 @@ def words_in(text: str, p: Pieces) -> tuple[list[str], list[str]]:
     return bare, spaced
 
 
-def distinct_units(texts: DataFrame, model_path: str, most: int = 200_000) -> DataFrame:
+def distinct_units(texts: DataFrame, model_path: str, most: int = 100_000) -> DataFrame:
     """unit, n: the units of texts.text, n being in how many portions of the tasks' words they were; distinct per portion first."""
 
     def run(batches):
         p = pieces_of(model_path)
+        unit_table.cache_clear()  # a worker that served an earlier table holds it no longer
         bare, spaced, done, units = set(), set(), set(), set()
 
         def flush():
             fresh = (bare | {SPACE + w for w in spaced}) - done
             for w in fresh:
                 units.update(p.units(w))
-            if len(done) > most:
+            if len(done) > 2 * most:
                 done.clear()
             done.update(fresh)
             bare.clear()
@@ -199,14 +200,17 @@ class UnitTable:
         ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]))
         self.ids = np.concatenate([np.zeros(0, np.int32), *ids])
         order = np.argsort(h)
-        self.hash, self.start, self.end = h[order], ends[:-1][order], ends[1:][order]
+        self.hash, self.start, self.end = h[order], ends[:-1][order].astype(np.int32), ends[1:][order].astype(np.int32)
+
+    def find(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each unit in the table, and whether it is there."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units))
+        k = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        return k, self.hash[k] == h if len(self.hash) else np.zeros(len(units), bool)
 
     def get(self, unit: str) -> list[int] | None:
-        h = np.uint64(xxhash.xxh3_64_intdigest(unit))
-        k = int(np.searchsorted(self.hash, h))
-        if k < len(self.hash) and self.hash[k] == h:
-            return self.ids[self.start[k] : self.end[k]].tolist()
-        return None
+        k, there = self.find([unit])
+        return self.ids[self.start[k[0]] : self.end[k[0]]].tolist() if there[0] else None
 
 
 @lru_cache(maxsize=1)
@@ -215,47 +219,83 @@ def unit_table(path: str) -> UnitTable:
 
 
 class Encoder(dict):
-    """Ids of each word met, from the table of units and a document's own other units; emptied when it holds too many."""
+    """Ids of each word met, from the table of units and a document's own other units; emptied when it holds too many. Words that
+    follow a space are kept without it in ``after``."""
 
     def __init__(self, pieces: Pieces, head: UnitTable, most: int = 200_000):
         self.p, self.head, self.most, self.rest = pieces, head, most, {}
         self.raw = {i: t.encode() for i, t in pieces.text.items()} | {i: bytes([b]) for i, b in pieces.value.items()}
         self.after = AfterSpace(self)
 
-    def ids(self, word: str) -> tuple[tuple[int, ...], bool]:
-        out, own = [], False
+    def ids(self, word: str) -> tuple[int, ...]:
+        """Of one word, with the document's own units."""
+        out = []
         for u in self.p.units(word):
             got = self.head.get(u)
-            if got is None:
-                own, got = True, self.rest[u]
-            out += self.p.spell(u, got)
-        return tuple(out), own
+            out += self.p.spell(u, self.rest[u] if got is None else got)
+        return tuple(out)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > self.most:
-            self.clear()
-        out, own = self.ids(word)
-        if not own:
-            self[word] = out
-        return out
+        return self.ids(word)
+
+    def learn(self, words: set[str], after: bool) -> None:
+        """Look all new words of a batch up together; those with units that the table lacks are left to each document."""
+        memo = self.after if after else self
+        if len(memo) > self.most:
+            memo.clear()
+        fresh = [w for w in words if w not in memo]
+        units = [self.p.units(SPACE + w if after else w) for w in fresh]
+        flat = [u for us in units for u in us]
+        if not flat:
+            return
+        k, there = self.head.find(flat)
+        a, b = self.head.start[k].tolist(), self.head.end[k].tolist()
+        known, ids, text = there.tolist(), self.head.ids, self.p.text
+        at = 0
+        for w, us in zip(fresh, units, strict=True):
+            out: list[int] = []
+            for n, u in enumerate(us, at):
+                if not known[n]:
+                    break
+                got = ids[a[n] : b[n]].tolist()
+                out += got if self.p.unk_id not in got and "".join(map(text.__getitem__, got)) == u else self.p.spell(u, got)
+            else:
+                memo[w] = tuple(out)
+            at += len(us)
 
-    def encode(self, text: str | None, rest: dict[str, list[int]]) -> np.ndarray:
+    def encode_batch(self, texts: list[str | None], rest: list[dict[str, list[int]]]) -> list[np.ndarray]:
         """A line's first word has no space before it, the others have one; other texts go by the general pattern."""
-        if not text:
-            return np.zeros(0, np.int32)
-        self.rest = rest
-        p = self.p
-        if not single_spaced(text, p):
-            return np.fromiter(chain.from_iterable(map(self.__getitem__, p.words.findall(normalised(text)))), np.int32)
-        parts = []
-        for k, line in enumerate((" " + text).split("\n")):
-            first, *others = line.split(" ")
-            if k:
-                parts.append(self["\n"])
-            if first:
-                parts.append(self[first])
-            parts += map(self.after.__getitem__, others)
-        return np.fromiter(chain.from_iterable(parts), np.int32)
+        p, cut = self.p, []
+        bare, spaced = {"\n"}, set()
+        for text in texts:
+            lines = []
+            if text and single_spaced(text, p):
+                lines = [line.split(" ") for line in (" " + text).split("\n")]
+                for first, *others in lines:
+                    bare.add(first)
+                    spaced.update(others)
+            elif text:
+                lines = p.words.findall(normalised(text))
+                bare.update(lines)
+            cut.append(lines)
+        bare.discard("")
+        self.learn(bare, False)
+        self.learn(spaced, True)
+        out = []
+        for lines, own in zip(cut, rest, strict=True):
+            self.rest = own
+            if lines and isinstance(lines[0], str):
+                parts = map(self.__getitem__, lines)
+            else:
+                parts = []
+                for k, (first, *others) in enumerate(lines):
+                    if k:
+                        parts.append(self["\n"])
+                    if first:
+                        parts.append(self[first])
+                    parts += map(self.after.__getitem__, others)
+            out.append(np.fromiter(chain.from_iterable(parts), np.int32))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")[1:]
@@ -268,12 +308,7 @@ class AfterSpace(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > self.encoder.most:
-            self.clear()
-        out, own = self.encoder.ids(SPACE + word)
-        if not own:
-            self[word] = out
-        return out
+        return self.encoder.ids(SPACE + word)
 
 
 def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str | None = None, max_units: int = MAX_UNITS) -> DataFrame:
@@ -314,7 +349,7 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
         for batch in batches:
             rest = [{r["unit"]: r["ids"] for r in x or ()} for x in batch.column("rest").to_pylist()]
             texts = batch.column("text").to_pylist()
-            ids = [encoder.encode(t, r) if t else np.zeros(0, np.int32) for t, r in zip(texts, rest, strict=True)]
+            ids = encoder.encode_batch(texts, rest) if encoder is not None else [np.zeros(0, np.int32) for _ in texts]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             decoded = [None if t is None or decoded_col is None else encoder.decode(i) if t else "" for t, i in zip(texts, ids, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())], names=["row", "ids", "decoded"])

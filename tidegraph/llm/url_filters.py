@@ -59,6 +59,9 @@ def template_tree(counts: DataFrame, max_depth: int = 6, critical: float = 16.0)
     rows = counts.select("host", "shape", "n", "n_block", "n_allow", F.when(F.size(cut) > max_depth + 1, F.concat(F.slice(cut, 1, max_depth + 1), F.array(F.lit("**")))).otherwise(cut).alias("seg"))
     kinds = [f"c{i}" for i in range(6)]
     for d in range(1, max_depth + 1):
+        rows = stored(rows, "url-level")  # a level's plan reads its rows three times
+        if rows.where(F.size("seg") > d).isEmpty():
+            break
         leaf = F.size("seg") <= d + 1
         none = F.col("n") - F.col("n_block") - F.col("n_allow")
         sums = [F.sum(F.when(leaf == F.lit(k < 3), v).otherwise(F.lit(0))).alias(kinds[k]) for k, v in enumerate([F.col("n_block"), F.col("n_allow"), none] * 2)]
