@@ -191,16 +191,19 @@ class UnitTable:
     def __init__(self, path: str):
         files, base = pafs.FileSystem.from_uri(path)
         hashes, ids, sizes = [], [], []
-        for batch in pads.dataset(base, filesystem=files, format="parquet").to_batches(columns=["unit", "ids"], use_threads=False, batch_readahead=1, fragment_readahead=1):
+        for batch in pads.dataset(base, filesystem=files, format="parquet").to_batches(columns=["unit", "ids"], batch_size=16384, use_threads=False, batch_readahead=1, fragment_readahead=1):
             hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(u) for u in batch.column("unit").to_pylist()), np.uint64, batch.num_rows))
             col = batch.column("ids")
             ids.append(col.flatten().to_numpy().astype(np.int32))
-            sizes.append(np.diff(col.offsets.to_numpy()))
+            sizes.append(np.diff(col.offsets.to_numpy()).astype(np.int32))
         h = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]))
+        del hashes
+        ends = np.cumsum(np.concatenate([np.zeros(1, np.int32), *sizes]), dtype=np.int32)
         self.ids = np.concatenate([np.zeros(0, np.int32), *ids])
+        del ids, sizes
         order = np.argsort(h)
-        self.hash, self.start, self.end = h[order], ends[:-1][order].astype(np.int32), ends[1:][order].astype(np.int32)
+        self.hash, self.start, self.end = h[order], ends[:-1][order], ends[1:][order]
+        pa.default_memory_pool().release_unused()
 
     def find(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Place of each unit in the table, and whether it is there."""
@@ -222,7 +225,7 @@ class Encoder(dict):
     """Ids of each word met, from the table of units and a document's own other units; emptied when it holds too many. Words that
     follow a space are kept without it in ``after``."""
 
-    def __init__(self, pieces: Pieces, head: UnitTable, most: int = 200_000):
+    def __init__(self, pieces: Pieces, head: UnitTable, most: int = 100_000):
         self.p, self.head, self.most, self.rest = pieces, head, most, {}
         self.raw = {i: t.encode() for i, t in pieces.text.items()} | {i: bytes([b]) for i, b in pieces.value.items()}
         self.after = AfterSpace(self)
