@@ -121,7 +121,7 @@ class Crf:
 class Memo(dict):
     """Emission of each token met, emptied when it holds too many."""
 
-    def __init__(self, crf: Crf, most: int = 400_000):
+    def __init__(self, crf: Crf, most: int = 150_000):
         self.crf, self.most = crf, most
 
     def __missing__(self, token: str) -> float:
@@ -187,33 +187,45 @@ def fit(rows: list[tuple[str | None, int]], steps: int = 40, clean_docs: int = 1
     rate = (toxic + 0.5) / (len(rows) + 1)
     if not 0 < toxic < len(rows):
         return Crf(doc=(math.log(rate / (1 - rate)) if not toxic else 0.0, 0.0, 0.0))
-    seen = (Counter(), Counter())
+    bad, good = Counter(), Counter()
     for text, y in zip(texts, labels, strict=True):
-        seen[y].update({f for w in set(text.split()) for f in features_of(w)})
-    told = {f: e for f, a in seen[1].items() if (e := evidence(a, seen[0][f], rate)) >= KEEP}
+        if y:
+            bad.update({f for w in set(text.split()) for f in features_of(w)})
+    bad = Counter({f: n for f, n in bad.items() if n > 1})  # one document is no evidence
+    for text, y in zip(texts, labels, strict=True):
+        if not y:
+            good.update({f for w in set(text.split()) for f in features_of(w) if f in bad})
+    told = {f: e for f, a in bad.items() if (e := evidence(a, good[f], rate)) >= KEEP}
     names = {f: k for k, f in enumerate(told)}
     clean = iter(range(clean_docs))
-    parts = []
+    sizes, marked, rows_, cols, feats = [], [], [], [], []
+    memo: dict[str, tuple[list[int], bool]] = {}
     for text, y in zip(texts, labels, strict=True):
+        if not y and next(clean, None) is None:
+            continue
         words = text.split()
-        if y or next(clean, None) is not None:
-            parts += [(words[k : k + segment], y) for k in range(0, len(words), segment)]
-    parts.sort(key=lambda x: -len(x[0]))
-    tags = np.zeros((segment, len(parts)), bool)
-    mask = np.arange(segment)[:, None] < np.array([len(x[0]) for x in parts])[None]
-    rows_, cols, feats = [], [], []
-    memo: dict[str, tuple[list[int], bool]] = {}
-    for d, (words, y) in enumerate(parts):
-        for t, w in enumerate(words):
+        first = len(sizes)
+        sizes += [min(segment, len(words) - k) for k in range(0, len(words), segment)]
+        if len(memo) > 100_000:
+            memo.clear()
+        for k, w in enumerate(words):
             if w not in memo:
                 fs = [f for f in features_of(w) if f in told]
                 memo[w] = [names[f] for f in fs], any(told[f] >= SPAN for f in fs)
             ids, strong = memo[w]
             if ids:
-                tags[t, d] = bool(strong and y)
-                rows_ += [t] * len(ids)
-                cols += [d] * len(ids)
+                if strong and y:
+                    marked.append((k % segment, first + k // segment))
+                rows_ += [k % segment] * len(ids)
+                cols += [first + k // segment] * len(ids)
                 feats += ids
+    longest_first = np.argsort(-np.array(sizes, int), kind="stable")
+    column = np.argsort(longest_first)
+    mask = np.arange(segment)[:, None] < np.array(sizes, int)[longest_first][None]
+    tags = np.zeros(mask.shape, bool)
+    for t, d in marked:
+        tags[t, column[d]] = True
+    cols = column[np.array(cols, int)]
     rows_, cols, feats = (np.array(x, int) for x in (rows_, cols, feats))
     w, bias, trans = np.zeros(len(names)), -3.0, np.zeros((2, 2))
     at = [np.zeros(len(names)), 0.0, np.zeros((2, 2))]
