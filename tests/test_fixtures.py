@@ -46,7 +46,7 @@ def test_parse_and_rank(spark, dump):
     assert got["L"].language_titles == {"de": "Zwei", "fr": "Un"} and got["I"].release_year == 1999 and got["E"].release_year == -1
     assert got["I"].infobox.infobox_type == "film" and got["E"].infobox is None
     ranked, edges = rank_pages(pages)
-    assert {(r.src, r.dst) for r in edges.collect()} == {(1, 2), (1, 6), (2, 6), (2, 1), (12, 1)}
+    assert {(r.src, r.dst) for r in edges.collect()} == {(1, 2), (1, 6), (2, 6), (2, 1), (6, 1), (12, 1)}  # a comment over two lines stays, so C links to A
     rows = ranked.collect()
     assert abs(sum(r["rank"] for r in rows) - 1) < 1e-9 and sorted(r.order for r in rows) == list(range(1, len(rows) + 1))
     _, legacy = resolve.build_graph(pages, transitive=True, strip_section=True)
