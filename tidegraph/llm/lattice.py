@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as pads
 import xxhash
 from pyarrow import fs as pafs
@@ -49,9 +49,25 @@ class Pieces:
         self.inside = {p[k : k + 2] for p in self.text.values() for k in range(len(p) - 1)}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.text.values()):
             raise ValueError("a piece crosses the start of a word")
-        breaks = "".join(c for c in "\n" if not any(c in p for p in self.text.values()))
-        self.lines, self.break_ch = "\n" in breaks, "\n"
-        self.words = re.compile(rf"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + (f"|[{breaks}]" if breaks else ""))
+        # characters that stand first, or second, in a pair inside a piece, as rows and columns of a table of such pairs
+        self.first, self.second = (np.zeros(0x110000, np.uint16) for _ in range(2))
+        for side, which in ((0, self.first), (1, self.second)):
+            for k, c in enumerate(sorted({pair[side] for pair in self.inside}), 1):
+                which[ord(c)] = k
+        self.joined = np.zeros((int(self.first.max()) + 1, int(self.second.max()) + 1), bool)
+        for x, y in self.inside:
+            self.joined[self.first[ord(x)], self.second[ord(y)]] = True
+        raw = [" \u2047 ".encode()] * sp.get_piece_size()
+        for i, t in self.text.items():
+            raw[i] = t.encode()
+        self.wide = np.array([len(r) for r in raw], np.int64)  # bytes of each piece as the lattice has it
+        for i, t in self.text.items():
+            raw[i] = t.replace(SPACE, " ").encode()
+        for i, v in self.value.items():
+            raw[i], self.wide[i] = bytes([v]), 1
+        self.size = np.array([len(r) for r in raw], np.int64)  # and as a text has it
+        self.start = np.cumsum(self.size) - self.size
+        self.spelled = np.frombuffer(b"".join(raw), np.uint8)
 
     def units(self, word: str) -> list[str]:
         cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.inside]
@@ -89,56 +105,46 @@ def normalised(text: str | None) -> str:
     return (SPACE + text.replace(" ", SPACE)) if text else ""
 
 
-def single_spaced(text: str, p: Pieces) -> bool:
-    """Whether each space stands alone between two words of one line, so that lines and spaces alone cut the text into words."""
-    return p.lines and not ("  " in text or SPACE in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " ")
+def cut_units(texts: pa.StringArray, p: Pieces) -> tuple[pa.StringArray, np.ndarray]:
+    """All units of an Arrow array of texts (they tile its normalised bytes), and the first unit of each text, then their number."""
+    texts = pc.fill_null(texts, "")
+    spaced = pc.replace_substring(pc.binary_join_element_wise(pa.scalar(" "), texts, pa.scalar("")), " ", SPACE)
+    texts = pc.if_else(pc.equal(texts, ""), texts, spaced)
+    at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+    raw = (texts.buffers()[2] or pa.py_buffer(b""))[int(at[0]) : int(at[-1])]
+    at = at - at[0]
+    chars = np.frombuffer(raw.to_pybytes().decode().encode("utf-32-le"), np.uint32)
+    places = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    cut = np.ones(len(chars), bool)
+    if len(chars):
+        cut[1:] = ~p.joined[p.first[chars[:-1]], p.second[chars[1:]]]
+    begin = np.searchsorted(places, at)
+    cut[begin[:-1][begin[:-1] < len(chars)]] = True
+    starts = np.flatnonzero(cut)
+    ends = np.append(places[starts], len(raw)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), raw), np.searchsorted(starts, begin)
 
 
-def words_in(text: str, p: Pieces) -> tuple[list[str], list[str]]:
-    """Words of one line's start (as they are) and words after a space (without it); texts with runs of spaces or with the space
-    piece itself go by the general pattern, all into the first."""
-    if not single_spaced(text, p):
-        return p.words.findall(normalised(text)), []
-    bare, spaced = [], []
-    for line in (" " + text).split("\n"):
-        first, *rest = line.split(" ")
-        if first:
-            bare.append(first)
-        spaced += rest
-    return bare, spaced
+def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs values[start : start + size], one after the other."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1]) + np.repeat(start - ends + size, size)] if len(ends) else values[:0]
 
 
-def distinct_units(texts: DataFrame, model_path: str, most: int = 100_000) -> DataFrame:
-    """unit, n: the units of texts.text, n being in how many portions of the tasks' words they were; distinct per portion first."""
+def distinct_units(texts: DataFrame, model_path: str, most: int = 400_000) -> DataFrame:
+    """unit, n: the units of texts.text, n being in how many portions of the tasks' texts they were; distinct per portion first."""
 
     def run(batches):
         p = pieces_of(model_path)
         unit_table.cache_clear()  # a worker that served an earlier table holds it no longer
-        bare, spaced, done, units = set(), set(), set(), set()
-
-        def flush():
-            fresh = (bare | {SPACE + w for w in spaced}) - done
-            for w in fresh:
-                units.update(p.units(w))
-            if len(done) > 2 * most:
-                done.clear()
-            done.update(fresh)
-            bare.clear()
-            spaced.clear()
-            got = pa.RecordBatch.from_arrays([pa.array(list(units), pa.string())], names=["unit"])
-            units.clear()
-            return got
-
+        done: set[str] = set()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    a, b = words_in(text, p)
-                    bare.update(a)
-                    spaced.update(b)
-            if len(bare) + len(spaced) >= most:
-                yield flush()
-        bare.update([p.break_ch] if p.lines else [])
-        yield flush()
+            units, _ = cut_units(batch.column("text"), p)
+            fresh = set(units.unique().to_pylist()) - done
+            if len(done) > most:
+                done.clear()
+            done |= fresh
+            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.string())], names=["unit"])
 
     return map_batches(texts, run, "unit string").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
 
@@ -211,107 +217,58 @@ class UnitTable:
         k = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
         return k, self.hash[k] == h if len(self.hash) else np.zeros(len(units), bool)
 
-    def get(self, unit: str) -> list[int] | None:
-        k, there = self.find([unit])
-        return self.ids[self.start[k[0]] : self.end[k[0]]].tolist() if there[0] else None
-
 
 @lru_cache(maxsize=1)
 def unit_table(path: str) -> UnitTable:
     return UnitTable(path)
 
 
-class Encoder(dict):
-    """Ids of each word met, from the table of units and a document's own other units; emptied when it holds too many. Words that
-    follow a space are kept without it in ``after``."""
-
-    def __init__(self, pieces: Pieces, head: UnitTable, most: int = 100_000):
-        self.p, self.head, self.most, self.rest = pieces, head, most, {}
-        self.raw = {i: t.encode() for i, t in pieces.text.items()} | {i: bytes([b]) for i, b in pieces.value.items()}
-        self.after = AfterSpace(self)
-
-    def ids(self, word: str) -> tuple[int, ...]:
-        """Of one word, with the document's own units."""
-        out = []
-        for u in self.p.units(word):
-            got = self.head.get(u)
-            out += self.p.spell(u, self.rest[u] if got is None else got)
-        return tuple(out)
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        return self.ids(word)
-
-    def learn(self, words: set[str], after: bool) -> None:
-        """Look all new words of a batch up together; those with units that the table lacks are left to each document."""
-        memo = self.after if after else self
-        if len(memo) > self.most:
-            memo.clear()
-        fresh = [w for w in words if w not in memo]
-        units = [self.p.units(SPACE + w if after else w) for w in fresh]
-        flat = [u for us in units for u in us]
-        if not flat:
-            return
-        k, there = self.head.find(flat)
-        a, b = self.head.start[k].tolist(), self.head.end[k].tolist()
-        known, ids, text = there.tolist(), self.head.ids, self.p.text
-        at = 0
-        for w, us in zip(fresh, units, strict=True):
-            out: list[int] = []
-            for n, u in enumerate(us, at):
-                if not known[n]:
-                    break
-                got = ids[a[n] : b[n]].tolist()
-                out += got if self.p.unk_id not in got and "".join(map(text.__getitem__, got)) == u else self.p.spell(u, got)
-            else:
-                memo[w] = tuple(out)
-            at += len(us)
-
-    def encode_batch(self, texts: list[str | None], rest: list[dict[str, list[int]]]) -> list[np.ndarray]:
-        """A line's first word has no space before it, the others have one; other texts go by the general pattern."""
-        p, cut = self.p, []
-        bare, spaced = {"\n"}, set()
-        for text in texts:
-            lines = []
-            if text and single_spaced(text, p):
-                lines = [line.split(" ") for line in (" " + text).split("\n")]
-                for first, *others in lines:
-                    bare.add(first)
-                    spaced.update(others)
-            elif text:
-                lines = p.words.findall(normalised(text))
-                bare.update(lines)
-            cut.append(lines)
-        bare.discard("")
-        self.learn(bare, False)
-        self.learn(spaced, True)
-        out = []
-        for lines, own in zip(cut, rest, strict=True):
-            self.rest = own
-            if lines and isinstance(lines[0], str):
-                parts = map(self.__getitem__, lines)
-            else:
-                parts = []
-                for k, (first, *others) in enumerate(lines):
-                    if k:
-                        parts.append(self["\n"])
-                    if first:
-                        parts.append(self[first])
-                    parts += map(self.after.__getitem__, others)
-            out.append(np.fromiter(chain.from_iterable(parts), np.int32))
-        return out
-
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")[1:]
-
-
-class AfterSpace(dict):
-    """The same for words whose leading space is not written."""
-
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        return self.encoder.ids(SPACE + word)
+def encode_batch(texts: pa.StringArray, p: Pieces, table: UnitTable, rest: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, and where each text's begin, then their number. Each distinct unit of the batch is looked up once, in the
+    table or else in rest, its pieces are held against its bytes, and the texts' ids are gathered from these."""
+    units, first = cut_units(texts, p)
+    coded = units.dictionary_encode()
+    own, codes = coded.dictionary, coded.indices.to_numpy()
+    k, there = table.find(own.to_pylist())
+    if len(table.hash):
+        start, size = np.where(there, table.start[k], 0).astype(np.int64), np.where(there, table.end[k] - table.start[k], 0).astype(np.int64)
+    else:
+        start, size = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+    pool = gathered(table.ids, start, size)
+    start = np.cumsum(size) - size
+    unknown = np.zeros(len(own), bool)
+    unknown[np.repeat(np.arange(len(own)), size)[pool == p.unk_id]] = True
+    extra, at = [pool], len(pool)
+    for n in np.flatnonzero(unknown | ~there):
+        unit = own[int(n)].as_py()
+        got = p.spell(unit, pool[start[n] : start[n] + size[n]].tolist() if there[n] else rest[unit])
+        extra.append(np.array(got, np.int32))
+        start[n], size[n] = at, len(got)
+        at += len(got)
+    pool = np.concatenate(extra)
+    ids = gathered(pool, start, size)
+    ends = np.cumsum(np.append(0, p.wide[ids]))[np.append(0, np.cumsum(size))]
+    bounds = np.frombuffer(own.buffers()[1], np.int32, len(own) + 1, own.offset * 4) if len(own) else np.zeros(1, np.int32)
+    if not np.array_equal(ends, bounds - bounds[0]) or spell_ids(ids, p).tobytes() != (own.buffers()[2] or pa.py_buffer(b"")).to_pybytes()[bounds[0] : bounds[-1]].replace(SPACE.encode(), b" "):
+        raise ValueError("the pieces of another unit were found")
+    return gathered(pool, start[codes], size[codes]), np.append(0, np.cumsum(size[codes]))[first]
+
+
+def spell_ids(ids: np.ndarray, p: Pieces) -> np.ndarray:
+    return gathered(p.spelled, p.start[ids], p.size[ids])
+
+
+def decode_batch(ids: np.ndarray, at: np.ndarray, p: Pieces) -> pa.StringArray:
+    """The texts of ids; text k has those from at[k] to at[k + 1], and loses the space added in front."""
+    ends = np.append(0, np.cumsum(p.size[ids]))[at]
+    full = ends[1:] > ends[:-1]
+    data = np.delete(spell_ids(ids, p), ends[:-1][full])
+    ends = (ends - np.append(0, np.cumsum(full))).astype(np.int32)
+    raw = pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    try:
+        return raw.cast(pa.string())
+    except pa.ArrowInvalid:  # ids that are no valid UTF-8
+        return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
 def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "piece_ids", decoded_col: str | None = None, max_units: int = MAX_UNITS) -> DataFrame:
@@ -338,8 +295,13 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
         def tail(batches):
             p, seen = pieces_of(model_path), unit_table(path)
             for batch in batches:
-                got = {(k, u) for k, t in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist(), strict=True) for w in set(p.words.findall(normalised(t))) for u in p.units(w) if seen.get(u) is None}
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], names=[key, "unit"])
+                units, first = cut_units(batch.column("text"), p)
+                coded = units.dictionary_encode()
+                lacking = ~seen.find(coded.dictionary.to_pylist())[1]
+                places = np.flatnonzero(lacking[coded.indices.to_numpy()])
+                keys = batch.column(key).take(pa.array(np.searchsorted(first, places, "right") - 1))
+                got = pa.RecordBatch.from_arrays([keys, units.take(pa.array(places))], names=[key, "unit"])
+                yield pa.Table.from_batches([got]).group_by([key, "unit"]).aggregate([]).select([key, "unit"]).combine_chunks().to_batches()[0] if len(places) else got
 
         needs = map_batches(rows.select(key, "text"), tail, f"{key} long, unit string").distinct().join(table.select("unit", "ids"), "unit")
         rest = needs.groupBy(key).agg(F.collect_list(F.struct("unit", "ids")).alias("rest"))
@@ -348,14 +310,15 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
         rows = rows.withColumn("rest", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
 
     def run(batches):
-        encoder = Encoder(pieces_of(model_path), unit_table(path)) if path else None
+        p = pieces_of(model_path)
         for batch in batches:
-            rest = [{r["unit"]: r["ids"] for r in x or ()} for x in batch.column("rest").to_pylist()]
-            texts = batch.column("text").to_pylist()
-            ids = encoder.encode_batch(texts, rest) if encoder is not None else [np.zeros(0, np.int32) for _ in texts]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            decoded = [None if t is None or decoded_col is None else encoder.decode(i) if t else "" for t, i in zip(texts, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array(decoded, pa.string())], names=["row", "ids", "decoded"])
+            rest = {r["unit"]: r["ids"] for x in batch.column("rest").drop_null().to_pylist() for r in x}
+            texts = batch.column("text")
+            ids, at = encode_batch(texts, p, unit_table(path), rest) if path else (np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64))
+            decoded = pa.nulls(len(texts), pa.string())
+            if decoded_col:
+                decoded = pc.if_else(pc.is_valid(texts), decode_batch(ids, at, p), decoded)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), decoded], names=["row", "ids", "decoded"])
 
     kept = rows.select("row", "text", "rest")
     out = map_batches(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, ids array<int>, decoded string", 4 << 20)
