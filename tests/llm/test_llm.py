@@ -523,3 +523,36 @@ def test_pipeline_stages_take_odd_rows(spark):
             assert set(stage(spark, frame, SF).columns) == set(c.COLUMNS)
             assert stage(spark, frame, SF).count() <= frame.count()
         assert c.STAGES[-1][1](spark, frame, SF).count() == frame.count()
+
+
+def test_delta_prefixes_find_all_pairs_of_a_group():
+    rng = np.random.default_rng(5)
+    classes = np.zeros(jaccard.WIDTH, np.uint8)
+    p = np.unique(rng.integers(1, 1 << 62, 120).astype(np.uint64))
+    pool = np.unique(rng.integers(1, 1 << 62, 60).astype(np.uint64))
+    found = 0
+    for _ in range(3000):
+        x = np.unique(np.concatenate([rng.choice(p, rng.integers(60, 121), replace=False), rng.choice(pool, rng.integers(0, 40), replace=False)]))
+        y = np.unique(np.concatenate([rng.choice(x, len(x) - rng.integers(0, 20), replace=False), rng.choice(p, rng.integers(0, 12)), rng.choice(pool, rng.integers(0, 8))]))
+        if not jaccard.similar(x, y, 75):
+            continue
+        (lx, _, tx, sx), (ly, _, ty, sy) = (jaccard.delta(z, p, 75, classes) for z in (x, y))
+        assert (lx, ly) == (jaccard.similar(x, p, 75), jaccard.similar(y, p, 75))
+        if lx and ly:
+            continue
+        found += 1
+        assert set(tx[:sx]) & set(ty[:sy]) if not (lx or ly) else set(tx) & set(ty)
+    assert found > 500
+
+
+def test_jaccard_family_below_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 9)), replace=False):
+            words[at] = f"x{k}" if rng.random() < 0.7 else f"y{at}"
+        texts.append((k, " ".join(words)))
+    want = brute_components(texts)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.cluster(docs(spark, texts)).collect()} == {k: tuple(v) for k, v in want.items()}

@@ -2,19 +2,23 @@
 
 1. Texts become sets of word shingles (64-bit hashes); equal sets are one node. A node is named by a 64-bit hash of its set: of n distinct
    sets n^2/2^65 pairs are expected to share a name.
-2. Nodes are partitioned into groups of similar ones: bands of minhashes propose a pivot for each node, the pair is verified on whole
-   texts, and verified pairs make the groups (their components). So a family of near copies is a group, linked through a few pivots
-   by a few comparisons a member.
-3. The token-group matrix holds, for each group, the union of its members' prefix tokens, with the least and greatest set size. Prefix:
+2. Nodes are partitioned into groups of similar ones: bands of minhashes propose a pivot p for each node, and a node whose similarity to it
+   is NEAR percent at least is in p's group. Whole texts give the node's delta to p: the tokens that it adds (B) and those of p that it lacks (A).
+3. Within a group no texts are compared pair by pair. With A_x = |A| and B_x = |B| of x, |x & y| = |p| - A_x - A_y + |delta x & delta y|, so x and y
+   link where their deltas share K(x, y) = (S_x + S_y - T) / M tokens or more, with S = 100 A + percent B, T = (100 - percent) |p|,
+   M = 100 + percent. x links to p itself where S_x <= T; two such nodes are linked through p. If x is loose (S_x > T), K is positive for any
+   y: it exceeds (S_x - T) / M, and S_x / M if y is loose as well (then S_y / M too). So a prefix of each delta, rare tokens first, finds
+   all pairs, which whole texts then decide. A family of texts below the threshold, whose deltas are its members' own words, has few.
+4. The token-group matrix holds, for each group, the union of its members' prefix tokens, with the least and greatest set size. Prefix:
    under a total order of tokens, the first |q| - ceil(t|q|) + e(|q|) of a set, e(n) = max(1, 15 n / 100). A partner x shares
    min(e(|q|), e(|x|)) prefix tokens with q at least, and |x| >= ceil(t|q|), so only groups whose union holds e(ceil(t|q|)) of q's prefix
    tokens, and whose sizes fit, can hold one. Any total order is right; ours has last what a counting sketch of all tokens
    finds more often than chance, so that shared passages and boilerplate open few groups: a token among the first is in some
    6 sqrt(N / 2^22) sets of N tokens at most, and the rows that it brings about grow in proportion to N.
-4. A query opens the qualifying groups other than its own, and whole texts decide each pair. Members of one group are linked already.
-5. Components: smallest label over links, with pointer jumping; all state in tables of the shared folder.
+5. A query opens the qualifying groups other than its own as a guest: its delta to their pivot is taken, and 3 holds for it and the members.
+6. Components: smallest label over links, with pointer jumping; all state in tables of the shared folder.
 
-Nothing is sampled or capped: links between different texts are found through 2 or 4, or join two members of one group.
+Nothing is sampled or capped: links between different texts are found through 3 or 5, or join two nodes linked to one pivot.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ WIDTH, PART = 1 << 22, 1 << 16
 BROADCAST_IDS = 1 << 20
 #: Percent of its size by which a set's prefix is longer than the least one, and that it shares there with a partner.
 EXTRA = 15
+#: Percent of similarity to its pivot from which a node is in the pivot's group. Any value gives the same links.
+NEAR = 40
 BATCH = 4 << 20
 _rng = np.random.default_rng(20240229)
 MIX = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -229,6 +235,55 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long", BATCH)
 
 
+def delta(x: np.ndarray, p: np.ndarray, percent: int, classes: np.ndarray) -> tuple[bool, bool, np.ndarray, int]:
+    """Whether x links to p, whether it is near p, the prefix of its delta to p (missing tokens inverted), and how much of it holds for a
+    loose partner."""
+    added, missing = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+    cost, free, per = 100 * len(missing) + percent * len(added), (100 - percent) * len(p), 100 + percent
+    both = len(added) + len(missing)
+    short = max(0, both - (cost // per + 1) + 1)
+    whole = short if cost <= free else both + (free - cost) // per + 1
+    tokens = np.concatenate([added[np.lexsort((added, classes[counter_of(added)]))], ~missing])
+    return cost <= free, 100 * (len(x) - len(added)) >= NEAR * (len(p) + len(added)), tokens[:whole], short
+
+
+def deltas(pairs: DataFrame, texts: DataFrame, size: int, percent: int, classes: np.ndarray) -> DataFrame:
+    """a, b, n (of a), linked, near, short, tokens: the delta of each a to the pivot b."""
+    left = pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
+
+    def run(batches):
+        for batch in batches:
+            names = batch.column("b").to_pylist()
+            firsts = {name: k for k, name in reversed(list(enumerate(names)))}
+            pivots = dict(zip(firsts, shingle_sets(batch.column("text_b").take(pa.array(list(firsts.values()))), size), strict=True))
+            sets = shingle_sets(batch.column("text_a"), size)
+            got = [delta(x, pivots[name], percent, classes) for x, name in zip(sets, names, strict=True)]
+            ends = np.cumsum([0, *(len(g[2]) for g in got)])
+            tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([g[2] for g in got]).view(np.int64)))
+            columns = [batch.column("a"), batch.column("b"), pa.array([len(x) for x in sets], pa.int64()), pa.array([bool(g[0]) for g in got]), pa.array([bool(g[1]) for g in got]), pa.array([g[3] for g in got], pa.int32()), tokens]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "linked", "near", "short", "tokens"])
+
+    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, n long, linked boolean, near boolean, short int, tokens array<long>", BATCH)
+
+
+def within_groups(hosts: DataFrame, guests: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of a group's members, and of a guest and a member, that may link by their deltas; two that link to the pivot are left out."""
+
+    def spread(d: DataFrame, guest: bool) -> DataFrame:
+        return d.select("a", "b", "n", "linked", F.lit(guest).alias("guest"), "short", F.posexplode("tokens").alias("pos", "token")).select(
+            "a", "b", "n", "linked", "guest", "token", (F.col("pos") < F.col("short")).alias("first"))
+
+    members = spread(hosts, False)
+    visitors = spread(guests.join(hosts.select("b").distinct(), "b", "left_semi"), True)
+    right = members.select("b", "token", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("linked").alias("linked2"), F.col("first").alias("first2"))
+    fits = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent) & (F.col("a") != F.col("a2"))
+    once = F.col("linked2") | (F.col("first") & F.col("first2") & (F.col("guest") | (F.col("a") < F.col("a2"))))
+    loose = members.union(visitors).where("not linked").join(right, ["b", "token"]).where(fits & once)
+    linked = visitors.where("linked").join(right.where("not linked2"), ["b", "token"]).where(fits)
+    return loose.union(linked).select("a", F.col("a2").alias("b")).distinct()
+
+
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """name, root, least: of each linked node a name for its component, and the smallest id over all nodes that links reach. nodes: name, id; links: a, b.
 
@@ -266,22 +321,23 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     light = nodes.select("name", "id")
 
     bands = nodes.select("name", F.explode("bands").alias("band"))
-    # the pivot of a band is the node that shares its bands with most others: of a family, the text that its members were made from
+    # the pivot of a node is, over its bands, the node that shares its bands with most others: of a family, the text that its members were made from
     full = bands.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    degree = bands.join(full, "band").groupBy("name").agg(F.sum("k").alias("degree"))
-    pivots = bands.join(degree, "name").groupBy("band").agg(F.max_by("name", F.struct("degree", "name")).alias("b"))
-    sizes = nodes.select("name", "n")
-    proposed = bands.join(pivots, "band").where("name <> b").select(F.col("name").alias("a"), "b").distinct()
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    with_n = lambda d: d.join(sizes.select(F.col("name").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("name").alias("b"), F.col("n").alias("nb")), "b")
-    proposed = stored(with_n(proposed).where(fits).select("a", "b"), "proposed")
+    bands = stored(bands.join(full, "band"), "bands")
+    degree = bands.groupBy("name").agg(F.sum("k").alias("degree"))
+    top = bands.join(degree, "name").groupBy("band").agg(F.max(F.struct("degree", "name")).alias("top"))
+    chosen = bands.join(top, "band").groupBy("name").agg(F.max("top").alias("top")).select(F.col("name").alias("a"), F.col("top.name").alias("b"))
+    chosen = stored(chosen.where("a <> b"), "chosen")
     ends = lambda d: d.select(F.col("a").alias("name")).union(d.select(F.col("b").alias("name"))).distinct()
-    texts = stored(named_texts(rows, stored(ends(proposed), "near"), size), "texts")
-    stars = stored(verified(proposed, texts, size, percent), "stars")
-    rooted = components(light, stars).select("name", "root")
-    groups = stored(nodes.select("name", "n").join(rooted, "name", "left").select("name", "n", F.coalesce("root", "name").alias("grp")), "groups")
-
-    tokens = prefixes(rows, size, percent, token_classes(signed.where("part is not null").select("part", "counts")))
+    early = stored(ends(chosen), "early")
+    texts = stored(named_texts(rows, early, size), "texts")
+    classes = token_classes(signed.where("part is not null").select("part", "counts"))
+    measured = stored(deltas(chosen, texts, size, percent, classes), "deltas")
+    hosts = measured.where("near")
+    groups = nodes.select("name", "n").join(hosts.select(F.col("a").alias("name"), F.col("b").alias("pivot")), "name", "left")
+    groups = stored(groups.select("name", "n", F.coalesce("pivot", "name").alias("grp")), "groups")
+
+    tokens = prefixes(rows, size, percent, classes)
     by_token = Window.partitionBy("token")
     shared = tokens.withColumn("lo", F.min("name").over(by_token)).withColumn("hi", F.max("name").over(by_token)).where("lo <> hi").select("token", "name")
     shared = stored(shared.join(groups, "name").select("token", "name", "n", "grp").distinct(), "shared")
@@ -295,10 +351,12 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         .groupBy(F.col("name").alias("a"), F.col("n").alias("na"), "other").agg(F.count(F.lit(1)).alias("common"))
         .where(F.col("common") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("na") * percent / 100) * EXTRA / 100)))
     )
-    members = groups.select(F.col("name").alias("b"), F.col("n").alias("nb"), F.col("grp").alias("other"))
-    pairs = stored(opened.join(members, "other").where(fits).select("a", "b"), "pairs")
-    late = stored(named_texts(rows, stored(ends(pairs), "late"), size), "late-texts")
-    crossed = verified(pairs, late, size, percent)
-    least = components(light, stars.union(crossed)).select("name", "least")
+    visits = stored(opened.select("a", F.col("other").alias("b")), "visits")
+    late = stored(ends(visits).join(early, "name", "left_anti"), "late")
+    texts = stored(named_texts(rows, late, size), "late-texts").union(texts)
+    visited = stored(deltas(visits, texts, size, percent, classes), "visited")
+    pairs = stored(within_groups(hosts, visited, percent), "pairs")
+    links = measured.union(visited).where("linked").select("a", "b").union(verified(pairs, texts, size, percent))
+    least = components(light, links).select("name", "least")
     return signed.where("part is null").select("id", "n", "name").join(least, "name", "left").join(light.select("name", F.col("id").alias("own")), "name", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "own", "id").alias("component_id"))
