@@ -7,7 +7,7 @@
 3. Within a group no texts are compared pair by pair. With A_x = |A| and B_x = |B| of x, |x & y| = |p| - A_x - A_y + |delta x & delta y|, so x and y
    link where their deltas share K(x, y) = (S_x + S_y - T) / M tokens or more, with S = 100 A + percent B, T = (100 - percent) |p|,
    M = 100 + percent. x links to p itself where S_x <= T; two such nodes are linked through p. If x is loose (S_x > T), K is positive for any
-   y: it exceeds (S_x - T) / M, and S_x / M if y is loose as well (then S_y / M too). So a prefix of each delta, rare tokens first, finds
+   y: it exceeds (S_x - T) / M, and S_x / M if y is loose as well (then S_y / M too). So a prefix of each delta, the group's rare tokens first, finds
    all pairs, which whole texts then decide. A family of texts below the threshold, whose deltas are its members' own words, has few.
 4. The token-group matrix holds, for each group, the union of its members' prefix tokens, with the least and greatest set size. Prefix:
    under a total order of tokens, the first |q| - ceil(t|q|) + e(|q|) of a set, e(n) = max(1, 15 n / 100). A partner x shares
@@ -235,20 +235,19 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long", BATCH)
 
 
-def delta(x: np.ndarray, p: np.ndarray, percent: int, classes: np.ndarray) -> tuple[bool, bool, np.ndarray, int]:
-    """Whether x links to p, whether it is near p, the prefix of its delta to p (missing tokens inverted), and how much of it holds for a
-    loose partner."""
+def delta(x: np.ndarray, p: np.ndarray, percent: int) -> tuple[bool, bool, np.ndarray, int, int]:
+    """Whether x links to p, whether it is near p, its delta to p (missing tokens inverted), and how long a prefix of this, in any order
+    that all members share, holds for a loose partner and for any."""
     added, missing = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
     cost, free, per = 100 * len(missing) + percent * len(added), (100 - percent) * len(p), 100 + percent
     both = len(added) + len(missing)
     short = max(0, both - (cost // per + 1) + 1)
     whole = short if cost <= free else both + (free - cost) // per + 1
-    tokens = np.concatenate([added[np.lexsort((added, classes[counter_of(added)]))], ~missing])
-    return cost <= free, 100 * (len(x) - len(added)) >= NEAR * (len(p) + len(added)), tokens[:whole], short
+    return cost <= free, 100 * (len(x) - len(added)) >= NEAR * (len(p) + len(added)), np.concatenate([added, ~missing]), short, whole
 
 
-def deltas(pairs: DataFrame, texts: DataFrame, size: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """a, b, n (of a), linked, near, short, tokens: the delta of each a to the pivot b."""
+def deltas(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b, n (of a), linked, near, short, whole, tokens: the delta of each a to the pivot b."""
     left = pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -258,28 +257,33 @@ def deltas(pairs: DataFrame, texts: DataFrame, size: int, percent: int, classes:
             firsts = {name: k for k, name in reversed(list(enumerate(names)))}
             pivots = dict(zip(firsts, shingle_sets(batch.column("text_b").take(pa.array(list(firsts.values()))), size), strict=True))
             sets = shingle_sets(batch.column("text_a"), size)
-            got = [delta(x, pivots[name], percent, classes) for x, name in zip(sets, names, strict=True)]
+            got = [delta(x, pivots[name], percent) for x, name in zip(sets, names, strict=True)]
             ends = np.cumsum([0, *(len(g[2]) for g in got)])
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([g[2] for g in got]).view(np.int64)))
-            columns = [batch.column("a"), batch.column("b"), pa.array([len(x) for x in sets], pa.int64()), pa.array([bool(g[0]) for g in got]), pa.array([bool(g[1]) for g in got]), pa.array([g[3] for g in got], pa.int32()), tokens]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "linked", "near", "short", "tokens"])
+            columns = [batch.column("a"), batch.column("b"), pa.array([len(x) for x in sets], pa.int64()), pa.array([bool(g[0]) for g in got]), pa.array([bool(g[1]) for g in got]), pa.array([g[3] for g in got], pa.int32()), pa.array([g[4] for g in got], pa.int32()), tokens]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "linked", "near", "short", "whole", "tokens"])
 
-    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, n long, linked boolean, near boolean, short int, tokens array<long>", BATCH)
+    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, n long, linked boolean, near boolean, short int, whole int, tokens array<long>", BATCH)
 
 
 def within_groups(hosts: DataFrame, guests: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of a group's members, and of a guest and a member, that may link by their deltas; two that link to the pivot are left out."""
 
     def spread(d: DataFrame, guest: bool) -> DataFrame:
-        return d.select("a", "b", "n", "linked", F.lit(guest).alias("guest"), "short", F.posexplode("tokens").alias("pos", "token")).select(
-            "a", "b", "n", "linked", "guest", "token", (F.col("pos") < F.col("short")).alias("first"))
-
-    members = spread(hosts, False)
-    visitors = spread(guests.join(hosts.select("b").distinct(), "b", "left_semi"), True)
+        return d.select("a", "b", F.lit(guest).alias("guest"), "n", "linked", "short", "whole", F.size("tokens").alias("total"), F.explode("tokens").alias("token"))
+
+    every = spread(hosts, False).union(spread(guests.join(hosts.select("b").distinct(), "b", "left_semi"), True))
+    # the rarest of the group come first; a token that one delta alone has matches nothing, so it only moves the others back
+    often = every.groupBy("b", "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    own = Window.partitionBy("a", "b", "guest")
+    place = F.col("total") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("k", "token"))
+    kept = every.join(often, ["b", "token"]).withColumn("place", place).where("place <= whole")
+    kept = stored(kept.select("a", "b", "guest", "n", "linked", "token", (F.col("place") <= F.col("short")).alias("first")), "delta-prefixes")
+    members, visitors = kept.where("not guest"), kept.where("guest")
     right = members.select("b", "token", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("linked").alias("linked2"), F.col("first").alias("first2"))
     fits = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent) & (F.col("a") != F.col("a2"))
     once = F.col("linked2") | (F.col("first") & F.col("first2") & (F.col("guest") | (F.col("a") < F.col("a2"))))
-    loose = members.union(visitors).where("not linked").join(right, ["b", "token"]).where(fits & once)
+    loose = kept.where("not linked").join(right, ["b", "token"]).where(fits & once)
     linked = visitors.where("linked").join(right.where("not linked2"), ["b", "token"]).where(fits)
     return loose.union(linked).select("a", F.col("a2").alias("b")).distinct()
 
@@ -332,7 +336,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     early = stored(ends(chosen), "early")
     texts = stored(named_texts(rows, early, size), "texts")
     classes = token_classes(signed.where("part is not null").select("part", "counts"))
-    measured = stored(deltas(chosen, texts, size, percent, classes), "deltas")
+    measured = stored(deltas(chosen, texts, size, percent), "deltas")
     hosts = measured.where("near")
     groups = nodes.select("name", "n").join(hosts.select(F.col("a").alias("name"), F.col("b").alias("pivot")), "name", "left")
     groups = stored(groups.select("name", "n", F.coalesce("pivot", "name").alias("grp")), "groups")
@@ -354,7 +358,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     visits = stored(opened.select("a", F.col("other").alias("b")), "visits")
     late = stored(ends(visits).join(early, "name", "left_anti"), "late")
     texts = stored(named_texts(rows, late, size), "late-texts").union(texts)
-    visited = stored(deltas(visits, texts, size, percent, classes), "visited")
+    visited = stored(deltas(visits, texts, size, percent), "visited")
     pairs = stored(within_groups(hosts, visited, percent), "pairs")
     links = measured.union(visited).where("linked").select("a", "b").union(verified(pairs, texts, size, percent))
     least = components(light, links).select("name", "least")
