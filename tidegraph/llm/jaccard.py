@@ -247,7 +247,7 @@ def delta(x: np.ndarray, p: np.ndarray, percent: int) -> tuple[bool, bool, np.nd
 
 
 def deltas(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b, n (of a), linked, near, short, whole, tokens: the delta of each a to the pivot b."""
+    """a, b, n (of a), linked, near, short, whole, p (size of b), tokens: the delta of each a to the pivot b."""
     left = pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -260,17 +260,17 @@ def deltas(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
             got = [delta(x, pivots[name], percent) for x, name in zip(sets, names, strict=True)]
             ends = np.cumsum([0, *(len(g[2]) for g in got)])
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([g[2] for g in got]).view(np.int64)))
-            columns = [batch.column("a"), batch.column("b"), pa.array([len(x) for x in sets], pa.int64()), pa.array([bool(g[0]) for g in got]), pa.array([bool(g[1]) for g in got]), pa.array([g[3] for g in got], pa.int32()), pa.array([g[4] for g in got], pa.int32()), tokens]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "linked", "near", "short", "whole", "tokens"])
+            columns = [batch.column("a"), batch.column("b"), pa.array([len(x) for x in sets], pa.int64()), pa.array([bool(g[0]) for g in got]), pa.array([bool(g[1]) for g in got]), pa.array([g[3] for g in got], pa.int32()), pa.array([g[4] for g in got], pa.int32()), pa.array([len(pivots[name]) for name in names], pa.int32()), tokens]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "n", "linked", "near", "short", "whole", "p", "tokens"])
 
-    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, n long, linked boolean, near boolean, short int, whole int, tokens array<long>", BATCH)
+    return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, n long, linked boolean, near boolean, short int, whole int, p int, tokens array<long>", BATCH)
 
 
 def within_groups(hosts: DataFrame, guests: DataFrame, percent: int) -> DataFrame:
     """a, b: pairs of a group's members, and of a guest and a member, that may link by their deltas; two that link to the pivot are left out."""
 
     def spread(d: DataFrame, guest: bool) -> DataFrame:
-        return d.select("a", "b", F.lit(guest).alias("guest"), "n", "linked", "short", "whole", F.size("tokens").alias("total"), F.explode("tokens").alias("token"))
+        return d.select("a", "b", F.lit(guest).alias("guest"), "n", "p", "linked", "short", "whole", F.size("tokens").alias("total"), F.explode("tokens").alias("token"))
 
     every = spread(hosts, False).union(spread(guests.join(hosts.select("b").distinct(), "b", "left_semi"), True))
     # the rarest of the group come first; a token that one delta alone has matches nothing, so it only moves the others back
@@ -278,14 +278,20 @@ def within_groups(hosts: DataFrame, guests: DataFrame, percent: int) -> DataFram
     own = Window.partitionBy("a", "b", "guest")
     place = F.col("total") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("k", "token"))
     kept = every.join(often, ["b", "token"]).withColumn("place", place).where("place <= whole")
-    kept = stored(kept.select("a", "b", "guest", "n", "linked", "token", (F.col("place") <= F.col("short")).alias("first")), "delta-prefixes")
+    kept = stored(kept.select("a", "b", "guest", "n", "p", "linked", "total", "place", "token", (F.col("place") <= F.col("short")).alias("first")), "delta-prefixes")
     members, visitors = kept.where("not guest"), kept.where("guest")
-    right = members.select("b", "token", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("linked").alias("linked2"), F.col("first").alias("first2"))
+    right = members.select("b", "token", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("linked").alias("linked2"), F.col("first").alias("first2"), F.col("total").alias("total2"), F.col("place").alias("place2"))
     fits = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent) & (F.col("a") != F.col("a2"))
     once = F.col("linked2") | (F.col("first") & F.col("first2") & (F.col("guest") | (F.col("a") < F.col("a2"))))
     loose = kept.where("not linked").join(right, ["b", "token"]).where(fits & once)
     linked = visitors.where("linked").join(right.where("not linked2"), ["b", "token"]).where(fits)
-    return loose.union(linked).select("a", F.col("a2").alias("b")).distinct()
+    # two deltas share what their prefixes share, and at most what stands behind the last of it: this must reach K
+    lacks = lambda n, total: (F.col(total) + F.col("p") - F.col(n)) / 2
+    cost = lambda n, total: lacks(n, total) * (100 - percent) + F.col(total) * percent
+    met = loose.union(linked).groupBy("a", "a2", "b", "n", "n2", "p", "total", "total2").agg(
+        F.count(F.lit(1)).alias("common"), F.max("place").alias("last"), F.max("place2").alias("last2"))
+    most = F.col("common") + F.least(F.col("total") - F.col("last"), F.col("total2") - F.col("last2"))
+    return met.where(most * (100 + percent) >= cost("n", "total") + cost("n2", "total2") - (100 - percent) * F.col("p")).select("a", F.col("a2").alias("b")).distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
