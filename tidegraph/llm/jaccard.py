@@ -276,22 +276,25 @@ def within_groups(hosts: DataFrame, guests: DataFrame, percent: int) -> DataFram
     # the rarest of the group come first; a token that one delta alone has matches nothing, so it only moves the others back
     often = every.groupBy("b", "token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     own = Window.partitionBy("a", "b", "guest")
-    place = F.col("total") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("k", "token"))
-    kept = every.join(often, ["b", "token"]).withColumn("place", place).where("place <= whole")
-    kept = stored(kept.select("a", "b", "guest", "n", "p", "linked", "total", "place", "token", (F.col("place") <= F.col("short")).alias("first")), "delta-prefixes")
+    rank = F.row_number().over(own.orderBy("k", "token"))
+    kept = every.join(often, ["b", "token"]).withColumn("rank", rank).withColumn("place", F.col("total") - F.count(F.lit(1)).over(own) + F.col("rank")).where("place <= whole")
+    kept = stored(kept.select("a", "b", "guest", "n", "p", "linked", "total", "rank", "place", "token", (F.col("place") <= F.col("short")).alias("first")), "delta-prefixes")
     members, visitors = kept.where("not guest"), kept.where("guest")
-    right = members.select("b", "token", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("linked").alias("linked2"), F.col("first").alias("first2"), F.col("total").alias("total2"), F.col("place").alias("place2"))
-    fits = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent) & (F.col("a") != F.col("a2"))
+    right = members.select("b", "token", F.col("a").alias("a2"), F.col("n").alias("n2"), F.col("linked").alias("linked2"), F.col("first").alias("first2"), F.col("total").alias("total2"), F.col("rank").alias("rank2"), F.col("place").alias("place2"))
+    lacks = lambda n, total: (F.col(total) + F.col("p") - F.col(n)) / 2
+    cost = lambda n, total: lacks(n, total) * (100 - percent) + F.col(total) * percent
+    reaches = lambda common: common * (100 + percent) >= cost("n", "total") + cost("n2", "total2") - (100 - percent) * F.col("p")
+    # up to a common token two deltas share no more than its lesser rank, behind it no more than the shorter rest: both must reach K
+    most = F.least("rank", "rank2") + F.least(F.col("total") - F.col("place"), F.col("total2") - F.col("place2"))
+    fits = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent) & (F.col("a") != F.col("a2")) & reaches(most)
     once = F.col("linked2") | (F.col("first") & F.col("first2") & (F.col("guest") | (F.col("a") < F.col("a2"))))
     loose = kept.where("not linked").join(right, ["b", "token"]).where(fits & once)
     linked = visitors.where("linked").join(right.where("not linked2"), ["b", "token"]).where(fits)
-    # two deltas share what their prefixes share, and at most what stands behind the last of it: this must reach K
-    lacks = lambda n, total: (F.col(total) + F.col("p") - F.col(n)) / 2
-    cost = lambda n, total: lacks(n, total) * (100 - percent) + F.col(total) * percent
+    # and all in all what their prefixes share, and at most what stands behind the last of it
     met = loose.union(linked).groupBy("a", "a2", "b", "n", "n2", "p", "total", "total2").agg(
         F.count(F.lit(1)).alias("common"), F.max("place").alias("last"), F.max("place2").alias("last2"))
     most = F.col("common") + F.least(F.col("total") - F.col("last"), F.col("total2") - F.col("last2"))
-    return met.where(most * (100 + percent) >= cost("n", "total") + cost("n2", "total2") - (100 - percent) * F.col("p")).select("a", F.col("a2").alias("b")).distinct()
+    return met.where(reaches(most)).select("a", F.col("a2").alias("b")).distinct()
 
 
 def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
