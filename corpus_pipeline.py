@@ -30,8 +30,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; rows that repeat this id are one document."""
-    return _without(docs, jaccard.cluster(docs).where("doc_id <> component_id")).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of linked documents the row with the smallest doc_id (null ids last); rows that link with nothing all stay.
+
+    Rows go through the operator by a hash of all their columns, not by doc_id: equal keys are equal rows (of n distinct rows n^2/2^65
+    pairs are expected to share a key), and a component's least key names it. Rows without words have no copies, equal rows included."""
+    keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)).alias("row_key"))
+    members = jaccard.cluster(keyed, "row_key").groupBy("row_key").agg(F.max("n_shingles").alias("n"), F.min("component_id").alias("component"))
+    members = members.where("n > 0").join(keyed.select("row_key", "doc_id").distinct(), "row_key")
+    best = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("best")).select("best.row_key")
+    wordless = F.coalesce(F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) == 0, F.lit(True))
+    kept = keyed.where(~wordless).join(best, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return kept.select(*COLUMNS).union(docs.where(wordless).select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -525,6 +525,16 @@ def test_pipeline_stages_take_odd_rows(spark):
         assert c.STAGES[-1][1](spark, frame, SF).count() == frame.count()
 
 
+def test_pipeline_keeps_rows_without_a_partner(spark):
+    import corpus_pipeline as c
+
+    base = " ".join(f"w{k}" for k in range(40))
+    data = [(None, "alpha beta gamma"), (None, "delta epsilon zeta"), (None, base), (9, base + " more"), (8, base), (8, base), (7, "one text"), (7, "another text"), (5, ""), (5, ""), (None, None), (None, " \n")]
+    frame = spark.createDataFrame([(i, t, None, "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in c.keep_one_of_group(spark, frame, SF).collect()), key=str)
+    assert got == sorted([data[0], data[1], data[4], *data[6:]], key=str)
+
+
 def test_delta_prefixes_find_all_pairs_of_a_group():
     rng = np.random.default_rng(5)
     p = np.unique(rng.integers(1, 1 << 62, 120).astype(np.uint64))
