@@ -1,7 +1,7 @@
 """The corpus pipeline: five filtering and encoding stages over documents, each reading what the one before it kept.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Rows with equal doc_ids are judged one by
-one where the operator returns its row's own verdict; where a verdict is joined back, it is joined by doc_id.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents. Each row is judged by itself, whatever its
+doc_id: operators pass rows on beside their verdicts, or take a key of the whole row.
 """
 
 from __future__ import annotations
@@ -18,15 +18,11 @@ from tidegraph.llm.queries import model_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among rejected.doc_id (ids, not texts, are shuffled or sent); null ids stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator scores below its threshold."""
+    docs = docs.select(*COLUMNS)
     crf = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score_documents(docs, crf).where("predicted = 1"))
+    return toxicity.score_documents(docs, crf, whole=True).where("predicted = 0").select("row.*")
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +41,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    return _without(docs, decontaminate.match_benchmark(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    return decontaminate.match_benchmark(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), whole=True).where("not contaminated").select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -535,6 +535,20 @@ def test_pipeline_keeps_rows_without_a_partner(spark):
     assert got == sorted([data[0], data[1], data[4], *data[6:]], key=str)
 
 
+def test_pipeline_judges_each_row_by_itself(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    item = next(r["text"] for r in rows(spark, "benchmark") if len(decontaminate.words_of(r["text"])) >= 10)
+    crf = toxicity.fit([(f"you idiot {k} go there b{k} c{k}", 1) for k in range(40)] + [(f"nice {k} day d{k} e{k} there", 0) for k in range(40)])
+    monkeypatch.setattr(toxicity, "train", lambda *_: crf)
+    frame = lambda data: spark.createDataFrame([(i, t, None, None, 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda d: sorted(((r.doc_id, r.text, r.n_chars) for r in d.collect()), key=str)
+    clean = [(None, "nice day"), (-5, "nice day"), (-5, "nice day"), (None, None)]
+    want = sorted(((i, t, 1) for i, t in clean), key=str)
+    assert kept(c.drop_contaminated(spark, frame([*clean, (None, item), (-5, item)]), SF)) == want
+    assert kept(c.drop_toxic(spark, frame([*clean, (None, "an idiot"), (-5, "an idiot")]), SF)) == want
+
+
 def test_delta_prefixes_find_all_pairs_of_a_group():
     rng = np.random.default_rng(5)
     p = np.unique(rng.integers(1, 1 << 62, 120).astype(np.uint64))

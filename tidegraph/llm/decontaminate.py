@@ -126,8 +126,9 @@ def match_batch(texts: list[str | None], shards) -> list[tuple[int, int, list[st
     return out
 
 
-def match_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, items (array), text columns unread otherwise.
+def match_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, split_bytes: int = SPLIT_BYTES, whole: bool = False) -> DataFrame:
+    """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, items (array), text columns unread otherwise;
+    with whole, also row, a struct of all its columns.
 
     No shuffle of docs. Items are sent with the tasks where all their texts have split_bytes at most (measured first); larger benchmarks
     are written to the shared folder in shards of about that size, and tasks open one shard after another for each batch.
@@ -135,7 +136,8 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     is listed as "null". Empty tables: no rows, or no hits. Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(docs.columns if whole else [text_col])).alias("row"))
+    passed = ["row"] if whole else []
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     small = [tuple(r) for r in items.toLocalIterator()] if size <= split_bytes else None
@@ -144,11 +146,11 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         items.repartition(-(-size // split_bytes)).write.parquet(folder)
 
     def run(batches):
-        whole = [Windows(small, window)] if small is not None else None
+        in_memory = [Windows(small, window)] if small is not None else None
 
         def shards():
-            if whole is not None:
-                yield from whole
+            if in_memory is not None:
+                yield from in_memory
                 return
             files, base = pafs.FileSystem.from_uri(folder)
             for info in sorted(files.get_file_info(pafs.FileSelector(base)), key=lambda x: x.path):
@@ -157,11 +159,12 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                     yield Windows(list(zip(t["item"].to_pylist(), t["text"].to_pylist(), strict=True)), window)
 
         for batch in batches:
-            got = match_batch(batch.column("text").to_pylist(), shards())
+            got = match_batch(batch.column("row").field(text_col).to_pylist(), shards())
             shas = [hashlib.sha256(",".join(g[2]).encode()).hexdigest() for g in got]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *(pa.array(x, t) for x, t in (([g[0] for g in got], pa.int64()), ([g[1] for g in got], pa.int64()), ([len(g[2]) for g in got], pa.int64()), (shas, pa.string()), ([g[1] > 0 for g in got], pa.bool_()), ([g[2] for g in got], pa.list_(pa.string()))))],
-                names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+                [batch.column("id"), *(pa.array(x, t) for x, t in (([g[0] for g in got], pa.int64()), ([g[1] for g in got], pa.int64()), ([len(g[2]) for g in got], pa.int64()), (shas, pa.string()), ([g[1] > 0 for g in got], pa.bool_()), ([g[2] for g in got], pa.list_(pa.string())))), *map(batch.column, passed)],
+                names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *passed],
             )
 
-    return map_batches(rows, run, "id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>").withColumnRenamed("id", id_col)
+    schema = "id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+    return map_batches(rows, run, schema + (f", row {rows.schema['row'].dataType.simpleString()}" if whole else "")).withColumnRenamed("id", id_col)

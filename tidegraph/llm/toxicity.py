@@ -278,18 +278,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([(r[0], r[1]) for r in rows])
 
 
-def score_documents(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """One row for each row of docs: id, held_out, score, predicted, spans (start:end code points of tokens with a marginal of 0.5 or more).
+def score_documents(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, whole: bool = False) -> DataFrame:
+    """One row for each row of docs: id, held_out, score, predicted, spans (start:end code points of tokens with a marginal of 0.5 or more);
+    with whole, also row, a struct of all its columns.
 
     No shuffle; whole texts. Null and empty texts have the score of a text without events. Null ids are not held out. Repeated
     rows get equal scores; an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(docs.columns if whole else [text_col])).alias("row"))
+    passed = ["row"] if whole else []
 
     def run(batches):
         memo = Memo(crf)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("row").field(text_col).to_pylist()
             found = [events_of(t, memo) for t in texts]
             p = crf.marginals([f[0] for f in found], [f[1] for f in found], np.array([f[2] for f in found]))
             spans = []
@@ -297,8 +299,8 @@ def score_documents(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col:
                 bad = set(f[0][q >= 0.5].tolist())
                 spans.append(",".join(f"{m.start()}:{m.end()}" for k, m in enumerate(TOKEN.finditer(text)) if k in bad) if bad else "")
             scores = [crf.score(q) for q in p]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(spans, pa.string())], names=["id", "score", "predicted", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(spans, pa.string()), *map(batch.column, passed)], names=["id", "score", "predicted", "spans", *passed])
 
-    scored = map_batches(rows, run, "id long, score double, predicted int, spans string")
+    scored = map_batches(rows, run, "id long, score double, predicted int, spans string" + (f", row {rows.schema['row'].dataType.simpleString()}" if whole else ""))
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", "predicted", "spans")
+    return scored.select(F.col("id").alias(id_col), held.alias("held_out"), "score", "predicted", "spans", *passed)
