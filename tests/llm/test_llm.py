@@ -342,6 +342,15 @@ def test_toxicity_edges(spark):
     assert toxicity.score_documents(docs(spark, [(1, "x")]), none).first().predicted == 0
 
 
+def test_toxicity_thins_only_copies_of_a_label():
+    passage = " ".join(f"p{k}" for k in range(120))
+    own = lambda k: " ".join(f"o{k}w{j}" for j in range(90))
+    rows_ = [(f"{own(k)} {passage}", k % 2) for k in range(40)]
+    assert toxicity.without_copies(rows_) == rows_
+    copies = [(f"{own(0)} {passage} copy{k}", 0) for k in range(20)] + [(rows_[0][0], 1), (None, 0), ("", 0), ("a", 0)]
+    assert toxicity.without_copies(rows_ + copies) == [*rows_, (rows_[0][0], 1), ("", 0), ("a", 0)]
+
+
 # 8 personal data
 
 BASE = {

@@ -27,7 +27,9 @@ EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 TOKEN = re.compile(r"\S+")
 #: Bits of evidence (nats) that keep a feature, and that make a token a labelled span.
 KEEP, SPAN = 8.0, 11.5
-SPREAD = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 2869860233, 3624381081, 1540483477], np.uint64)
+#: Bins of the minhash of a training text, and the estimated similarity from which it is a copy.
+BINS, COPY = 128, 0.75
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def features_of(token: str) -> list[str]:
@@ -164,16 +166,24 @@ def full_pass(x: np.ndarray, mask: np.ndarray, bias: float, trans: np.ndarray) -
 
 
 def without_copies(rows: list[tuple[str | None, int]]) -> list[tuple[str, int]]:
-    """The rows less near copies of earlier ones (one of 8 minhashes of their 3-word shingles in common): a family of copies with one
-    label would make all its words look like evidence."""
-    seen, out = set(), []
+    """The rows less near copies of earlier ones that stay and have the same label: a family of copies with one label would make all its
+    words look like evidence. The similarity of two sets of 3-word shingles is estimated by a one-permutation minhash: of the BINS that
+    either set fills, the share in which their least hashes are equal; from COPY on a row is a copy."""
+    edges = np.array([k * (1 << 32) // BINS for k in range(BINS)], np.uint64)
+    out, marks = [], {y: [np.zeros((len(rows), BINS), np.uint32), 0] for y in {bool(y) for _, y in rows}}
     for text, y in rows:
         words = (text or "").lower().split()
-        h = np.unique(np.fromiter((zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))), np.uint64))
-        marks = {(k, int((h * m % np.uint64(4294967291)).min())) for k, m in enumerate(SPREAD)}
-        if not marks & seen:
+        h = np.fromiter((zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))), np.uint64)
+        h = np.sort((h + np.uint64(1)) * SPREAD >> np.uint64(32))
+        at = np.searchsorted(h, edges)
+        first = h[np.minimum(at, len(h) - 1)]
+        mine = np.where((at < len(h)) & (first < np.append(edges[1:], np.uint64(1 << 32))), first + np.uint64(1), np.uint64(0)).astype(np.uint32)
+        kept, n = marks[bool(y)]
+        equal = ((kept[:n] == mine) & (mine > 0)).sum(1)
+        if (equal < COPY * ((kept[:n] > 0) | (mine > 0)).sum(1)).all():
             out.append((text or "", y))
-        seen |= marks
+            kept[n] = mine
+            marks[bool(y)][1] += 1
     return out
 
 
