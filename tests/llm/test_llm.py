@@ -402,6 +402,22 @@ def test_pii_disguises_map_back(text, kind, part):
     assert not base and (kind, text.index(part), text.index(part) + len(part)) in every
 
 
+@pytest.mark.parametrize(("kind", "part"), [
+    ("ip", "one nine two dot one six eight dot zero dot one"), ("ip", "192 dot 168 dot 0 dot 1"), ("ip", "192[.]168[.]0[.]1"), ("ip", "one nine two.168.zero (dot) 1"),
+    ("ip", "１９２ dot 168 dot 0 dot 1"), ("phone", "plus one 555 one two three 4567"), ("phone", "+1 555 one two three four five six"), ("phone", "plus one (555) one two three 4567"),
+    ("card", "4111 one one one one 1111 one one one one"), ("email", "anna[@]uni[.]org"), ("email", "anna@uni[.]org"), ("email", "anna at uni dot cz"), ("email", "anna at uni dot museum"),
+])
+def test_pii_further_disguises(kind, part):
+    text = f"go to {part} if you can"
+    base, every = pii.find_pii(text)
+    assert not base and every == [(kind, 6, 6 + len(part))]
+
+
+def test_pii_disguises_are_validated():
+    for text in ("300 dot 168 dot 0 dot 1", "one dot two dot three", "4111 one one one one 1111 one one one two", "one 555 one two three 4567", "chapter one, 12 pages, two maps", "1" * 300_000 + " dot one", "one " * 5):
+        assert not [x for x in pii.find_pii(text)[1] if x[0] != "ip"] and ("300" not in text and "dot three" not in text or not pii.find_pii(text)[1])
+
+
 def test_pii_leaves_plain_prose_alone_and_is_linear(spark):
     assert pii.find_pii("Meet me at noon, dot the i, one two three. Look at this dot matrix.")[1] == []
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 100_000, "+1" * 100_000, "a.b" * 100_000 + " at "):

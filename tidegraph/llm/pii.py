@@ -1,8 +1,9 @@
 """Personal data: base patterns on the text itself, and the same patterns on a deobfuscated text whose spans map back.
 
-Transducers rewrite homoglyphs, spelled-out digits and at/dot disguises; each keeps, for every rewritten piece, where it came from,
-so a span found in the normalised text becomes a span of source characters. Base spans always stay; a disguised one is added
-where it holds a rewritten piece and meets no base span of its kind.
+Transducers rewrite homoglyphs, digit names (also among numerals) and at/dot disguises; each keeps, for every rewritten piece, where it
+came from, so a span found in the normalised text becomes a span of source characters. Addresses whose four parts are numerals or digit names
+with plain, bracketed or spelled dots are sought as such. Base spans always stay; a disguised one is added where it holds a rewritten
+piece and meets no span of its kind. Digit names are English; names of larger numbers ("ninety") are not read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import map_batches
+from tidegraph.llm.top_level import TOP
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -29,11 +31,18 @@ LOOKALIKE = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅο
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 SPELLED = re.compile(rf"(?i)\b(?:plus[\s-]+)?(?:{'|'.join(DIGITS)})(?:[\s,.-]+(?:{'|'.join(DIGITS)})){{6,}}\b")
 WORD = re.compile(r"[A-Za-z]+")
-AT, DOT = r"(?:\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+)", r"(?:\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+)"
+#: Numerals and digit names in a row, in any mixture.
+NUMBER = rf"(?:(?:{'|'.join(DIGITS)})\b|[0-9]++\b)"
+MIXED = re.compile(rf"(?i)(?P<plus>\bplus[\s-]++)?\b{NUMBER}(?:[\s,.()-]++{NUMBER})++")
+NUMBER_RE = re.compile(rf"(?i)\b{NUMBER}")
+NAMED = re.compile(rf"(?i)\b(?:{'|'.join(DIGITS)})\b")
+AT, DOT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)", r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
+SHORT = rf"(?:{'|'.join(DIGITS)}|[0-9]{{1,2}})\b"
+PART, PART_DOT = rf"([0-9]++|{SHORT}(?:[\s-]+{SHORT}){{0,2}})", rf"(?:{DOT}|(?<=[0-9])dot(?=[0-9])|\.)"
+SPELLED_IP = re.compile(rf"(?i)(?<![A-Za-z0-9]){PART}{PART_DOT}{PART}{PART_DOT}{PART}{PART_DOT}{PART}")
+BRACKETED = re.compile(r"[\[({<]\s*[@.]")
 DISGUISE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|{DOT})[A-Za-z0-9_%+-]++)*?(?P<at>{AT}|@)[A-Za-z0-9-]++(?:(?:\.|{DOT})[A-Za-z0-9-]++)+")
 AT_RE, DOT_RE, BARE_AT = re.compile(rf"(?i){AT}"), re.compile(rf"(?i){DOT}"), re.compile(r"(?i)\s+at\s+\Z")
-#: What a domain must end in if all its disguises are bare words.
-TOP = frozenset("com net org edu gov info biz io co me ai dev app de fr es it uk nl eu ch at be pl se us ca au jp".split())
 
 Piece = tuple[int, int, str]
 
@@ -109,18 +118,59 @@ def spelled_digits(text: str) -> list[Piece]:
     return out
 
 
+def mixed_digits(text: str) -> list[Piece]:
+    """Digit names among numerals as digits, joined to their neighbours, in runs of eight digits and more (no phone or card has fewer); a plus
+    before them as +."""
+    if not NAMED.search(text):
+        return []
+    out = []
+    for run in MIXED.finditer(text):
+        words = list(NUMBER_RE.finditer(text, run.end("plus") if run["plus"] else run.start(), run.end()))
+        if all(m[0][0].isdigit() for m in words) or sum(len(m[0]) if m[0][0].isdigit() else 1 for m in words) < 8:
+            continue
+        if run["plus"]:
+            out.append((*run.span("plus"), "+"))
+        for before, m, after in zip([None, *words], words, [*words[1:], None], strict=False):
+            if not m[0][0].isdigit():
+                out.append((before.end() if before and before[0][0].isdigit() else m.start(), after.start() if after else m.end(), DIGITS[m[0].lower()]))
+    return out
+
+
+def spelled_ips(text: str) -> list[tuple[int, int]]:
+    """Spans of addresses with a digit name or a disguised dot; a last part above 255 loses words from its end."""
+    low = text.lower()
+    if "dot" not in low and not BRACKETED.search(text) and not any(f"{w}." in low or f".{w}" in low for w in DIGITS):
+        return []
+    out, at = [], 0
+    while m := SPELLED_IP.search(text, at):
+        at = m.end()
+        if IP.fullmatch(m[0]):
+            continue
+        parts = [list(NUMBER_RE.finditer(text, *m.span(k))) for k in (1, 2, 3, 4)]
+        value = lambda part: "".join(DIGITS.get(x[0].lower(), x[0]) for x in part).lstrip("0")
+        fits = lambda part: len(value(part)) <= 3 and int(value(part) or 0) <= 255
+        while len(parts[3]) > 1 and not fits(parts[3]):
+            parts[3].pop()
+        if all(map(fits, parts)):
+            at = parts[3][-1].end() if parts[3] else m.end()
+            out.append((m.start(), at))
+        else:
+            at = m.start() + 1
+    return out
+
+
 def at_dot(text: str) -> list[Piece]:
     """Disguised @ and dots of addresses. A bare word "at" counts only if a dot of its domain is disguised as well,
-    in brackets or before a common top-level domain."""
+    in brackets or before a top-level domain."""
     low = text.lower()
-    if "dot" not in low and not any(f"{a}at" in low or f"{a} at" in low for a in "[({<"):
+    if "dot" not in low and not BRACKETED.search(text) and not any(f"{a}at" in low or f"{a} at" in low for a in "[({<"):
         return []
     out = []
     for m in DISGUISE.finditer(text):
         a, b = m.span("at")
         dots = [d for d in DOT_RE.finditer(text, m.start(), m.end())]
         last = re.split(r"[^A-Za-z0-9-]+", m[0])[-1].lower()
-        if BARE_AT.match(text[a:b]) and not any(d.start() >= b and (d[0].strip().lower() != "dot" or last in TOP) for d in dots):
+        if BARE_AT.match(text[a:b]) and not any(d.start() >= b and (d[0].strip().lower() != "dot" or last in TOP or last.startswith("xn--")) for d in dots):
             continue
         out += [(d.start(), d.end(), ".") for d in dots if d.end() <= a or d.start() >= b]
         if text[a:b] != "@":
@@ -177,19 +227,31 @@ def find_pii(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[s
     text = text or ""
     base = find_all(text)
     every = {k: list(v) for k, v in base.items()}
-    n = Normalised(text)
+    plain = Normalised(text)
     if not text.isascii():
-        n.apply(homoglyphs)
-    n.apply(spelled_digits)
-    n.apply(at_dot)
-    if n.pieces:
-        for kind, spans in find_all(n.text).items():
-            for a, b in spans:
-                if n.rewritten(a, b):
-                    x, y = n.to_source(a, b)
-                    if not any(x < d and c < y for c, d in base[kind]):
-                        every[kind].append((x, y))
-    return [(k, *s) for k in KINDS for s in base[k]], [(k, *s) for k in KINDS for s in sorted(every[k])]
+        plain.apply(homoglyphs)
+
+    def add(kind: str, a: int, b: int) -> None:
+        """The spans of a kind stay apart, so only the neighbours can meet a new one."""
+        k = bisect_right(every[kind], (a, b))
+        if not any(x < b and a < y for x, y in every[kind][max(0, k - 1) : k + 1]):
+            every[kind].insert(k, (a, b))
+
+    for transducer in (spelled_digits, mixed_digits):  # digits beside a spelled-out number need not belong to it
+        n = Normalised(text)
+        n.text, n.pieces = plain.text, list(plain.pieces)
+        n.apply(transducer)
+        if transducer is mixed_digits and n.text == plain.text:
+            break
+        n.apply(at_dot)
+        if n.pieces:
+            for kind, spans in find_all(n.text).items():
+                for a, b in spans:
+                    if n.rewritten(a, b):
+                        add(kind, *n.to_source(a, b))
+    for a, b in spelled_ips(plain.text):
+        add("ip", *plain.to_source(a, b))
+    return [(k, *s) for k in KINDS for s in base[k]], [(k, *s) for k in KINDS for s in every[k]]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
