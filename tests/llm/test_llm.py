@@ -413,6 +413,11 @@ def test_pii_further_disguises(kind, part):
     assert not base and every == [(kind, 6, 6 + len(part))]
 
 
+def test_pii_bracketed_at_takes_any_white_space():
+    for part in ("anna (  at ) uni.org", "anna [\tAT] uni.org"):
+        assert pii.find_pii(f"go to {part} now")[1] == [("email", 6, 6 + len(part))]
+
+
 def test_pii_disguises_are_validated():
     for text in ("300 dot 168 dot 0 dot 1", "one dot two dot three", "4111 one one one one 1111 one one one two", "one 555 one two three 4567", "chapter one, 12 pages, two maps", "1" * 300_000 + " dot one", "one " * 5):
         assert not [x for x in pii.find_pii(text)[1] if x[0] != "ip"] and ("300" not in text and "dot three" not in text or not pii.find_pii(text)[1])

@@ -40,7 +40,7 @@ AT, DOT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)", r"(?:\s*[\[({<]\s*
 SHORT = rf"(?:{'|'.join(DIGITS)}|[0-9]{{1,2}})\b"
 PART, PART_DOT = rf"([0-9]++|{SHORT}(?:[\s-]+{SHORT}){{0,2}})", rf"(?:{DOT}|(?<=[0-9])dot(?=[0-9])|\.)"
 SPELLED_IP = re.compile(rf"(?i)(?<![A-Za-z0-9]){PART}{PART_DOT}{PART}{PART_DOT}{PART}{PART_DOT}{PART}")
-BRACKETED = re.compile(r"[\[({<]\s*[@.]")
+BRACKETED = re.compile(r"(?i)[\[({<]\s*(?:at|[@.])")
 DISGUISE = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|{DOT})[A-Za-z0-9_%+-]++)*?(?P<at>{AT}|@)[A-Za-z0-9-]++(?:(?:\.|{DOT})[A-Za-z0-9-]++)+")
 AT_RE, DOT_RE, BARE_AT = re.compile(rf"(?i){AT}"), re.compile(rf"(?i){DOT}"), re.compile(r"(?i)\s+at\s+\Z")
 
@@ -163,7 +163,7 @@ def at_dot(text: str) -> list[Piece]:
     """Disguised @ and dots of addresses. A bare word "at" counts only if a dot of its domain is disguised as well,
     in brackets or before a top-level domain."""
     low = text.lower()
-    if "dot" not in low and not BRACKETED.search(text) and not any(f"{a}at" in low or f"{a} at" in low for a in "[({<"):
+    if "dot" not in low and not BRACKETED.search(text):
         return []
     out = []
     for m in DISGUISE.finditer(text):
