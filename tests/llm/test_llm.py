@@ -515,6 +515,23 @@ def test_sniffing_corrects_and_carves():
     assert media.sniff(b"", None) == ("application/octet-stream", 0, [])
 
 
+def test_sniffing_takes_whole_updated_pdfs_and_nested_archives():
+    import io
+    import zipfile
+
+    def archive(data):
+        z = io.BytesIO()
+        with zipfile.ZipFile(z, "w") as f:
+            f.writestr("a", data)
+        return z.getvalue()
+
+    pdf = b"%PDF-1.4\nx\nstartxref\n0\n%%EOF"
+    updated = pdf + b"\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    for data, kind in ((updated, "application/pdf"), (archive(archive("b")), "application/zip")):
+        assert media.sniff(b"junk " + data + b" tail", "text/plain") == ("text/plain", 0, [(kind, 5, len(data))])
+    assert [x[1:] for x in media.sniff(b"junk " + pdf + b"\n" + pdf, "text/plain")[2]] == [(5, len(pdf)), (6 + len(pdf), len(pdf))]
+
+
 def test_media_edges(spark):
     got = {r.doc_id: r for r in media.read_media(media.store_texts(docs(spark, [(1, None), (2, ""), (3, "x" * 576), (3, "x" * 576), (4, media.wav(b"q" * 9).decode("latin-1"))]))).collect()}
     assert got[1].payload_sha256 == got[2].payload_sha256 == hashlib.sha256(b"\xff" * 576).hexdigest() and got[3].payload_bytes == 576

@@ -102,18 +102,27 @@ def valid_jpeg(b: bytes, at: int) -> int | None:
 
 
 def valid_pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if re.match(rb"%PDF-[0-9]\.[0-9][\r\n]", b[at : at + 9]) and b.find(b"startxref", at, max(end, at)) >= 0 else None
+    """To the last %%EOF of the file, each with a startxref before it; the next header behind an %%EOF begins another file."""
+    if not re.match(rb"%PDF-[0-9]\.[0-9][\r\n]", b[at : at + 9]):
+        return None
+    last, k = None, at
+    while (end := b.find(b"%%EOF", k)) >= 0 and (last is None or b.find(b"%PDF-", k, end) < 0):
+        if b.find(b"startxref", k, end) >= 0:
+            last = end + 5 - at
+        k = end + 5
+    return last
 
 
 def valid_zip(b: bytes, at: int) -> int | None:
     if at + 30 > len(b) or int.from_bytes(b[at + 8 : at + 10], "little") not in (0, 8):
         return None
     k = b.find(b"PK\5\6", at)
-    if k < 0 or k + 22 > len(b):
-        return None
-    size, first = struct.unpack("<II", b[k + 12 : k + 20])
-    return k + 22 + int.from_bytes(b[k + 20 : k + 22], "little") - at if at + first + size == k and b[at + first : at + first + 4] == b"PK\1\2" else None
+    while 0 <= k <= len(b) - 22:  # a stored archive has an end record of its own
+        size, first = struct.unpack("<II", b[k + 12 : k + 20])
+        if at + first + size == k and b[at + first : at + first + 4] == b"PK\1\2":
+            return k + 22 + int.from_bytes(b[k + 20 : k + 22], "little") - at
+        k = b.find(b"PK\5\6", k + 1)
+    return None
 
 
 def valid_ogg(b: bytes, at: int) -> int | None:
