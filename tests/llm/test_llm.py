@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -627,3 +628,15 @@ def test_jaccard_family_below_the_threshold(spark):
         texts.append((k, " ".join(words)))
     want = brute_components(texts)
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.cluster(docs(spark, texts)).collect()} == {k: tuple(v) for k, v in want.items()}
+
+
+def test_lattice_of_a_very_long_unit(spark, model):
+    p = lattice.pieces_of(model)
+    texts = [(1, "a" * 20_000), (2, "a" * 63), (3, "a" * 62), (4, "a" * 64), (5, "a" * 129 + "b" * 300 + " " + "a" * 129), (6, "é" * 5_000)]
+    lattice.encode_texts(docs(spark, texts), model).count()
+    began = time.time()
+    got = lattice.encode_texts(docs(spark, texts), model, decoded_col="back").collect()
+    assert time.time() - began < 30
+    for r in got:
+        assert r.back == r.text
+        assert r.piece_ids == brute_viterbi(p, r.text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,7 +36,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, max_bytes: int = 8 << 20) -> DataFrame:
     """mapInArrow whose batches are cut so that one holds at most a few MB of text."""
-    return df.mapInArrow(lambda batches: fn(small_batches(batches, max_bytes)), schema)
+
+    def run(batches):
+        yield from fn(small_batches(batches, max_bytes))
+        release_memory()  # the worker waits for its next task without what this one held
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Give what is free in the pools of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ Documents are then encoded from the table of units. Tasks read it as a compact a
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import lru_cache
 
@@ -21,13 +22,15 @@ import pyarrow.compute as pc
 import pyarrow.dataset as pads
 import xxhash
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import map_batches, stored
 
 SPACE = "▁"
 MAX_UNITS = 4_000_000
+#: Starts of a block of a unit, and the most characters of a piece.
+BLOCK = 64
 UNK_PENALTY = 10.0
 
 
@@ -47,6 +50,8 @@ class Pieces:
         self.unk_id = sp.unk_id()
         self.value = {i: b for b, i in self.bytes.items()}
         self.inside = {p[k : k + 2] for p in self.text.values() for k in range(len(p) - 1)}
+        if self.longest > BLOCK:
+            raise ValueError(f"a piece has more than {BLOCK} characters")
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.text.values()):
             raise ValueError("a piece crosses the start of a word")
         # characters that stand first, or second, in a pair inside a piece, as rows and columns of a table of such pairs
@@ -150,10 +155,11 @@ def distinct_units(texts: DataFrame, model_path: str, most: int = 400_000) -> Da
 
 
 def encode_units(units: DataFrame, model_path: str) -> DataFrame:
-    """unit, n, ids of each distinct unit: explode, equi-join, group, fold; all native. units must hold each unit once.
+    """key, n, ids of each distinct unit: explode, equi-join, group, fold; all native. units must hold each unit once.
 
-    How many lengths are exploded at a start follows from its first three characters (no longer piece begins so). An edge is one
-    long: end, length (the longest first) and id; scores are looked up by id.
+    A unit is cut into blocks of BLOCK starts with what the longest piece needs behind them, so that no row of a span carries a long unit;
+    its key is its text, or from BLOCK characters on its SHA-256. How many lengths are exploded at a start follows from its first three
+    characters (no longer piece begins so). An edge is one long: end, length (the longest first) and id; scores are looked up by id.
     """
     spark = units.sparkSession
     p = pieces_of(model_path)
@@ -162,33 +168,54 @@ def encode_units(units: DataFrame, model_path: str) -> DataFrame:
     for _, t, _ in p.rows:
         reach[t[:3]] = max(len(t), reach.get(t[:3], 0))
     reaches = spark.createDataFrame([(k, n) for k, n in reach.items() if len(k) == 3], "head string, reach int")
-    starts = units.where("unit <> ''").select("unit", "n", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1)).alias("start"))
-    starts = starts.withColumn("head", F.substring(F.col("unit"), F.col("start") + 1, F.lit(3))).join(F.broadcast(reaches), "head", "left")
-    spans = starts.select("unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(2)), F.char_length("unit") - F.col("start")))).alias("len"))
-    spans = spans.select("unit", "n", "start", "len", F.substring(F.col("unit"), F.col("start") + 1, F.col("len")).alias("piece"))
+    key = F.when(F.char_length("unit") < BLOCK, F.col("unit")).otherwise(F.sha2("unit", 256))
+    block = f"transform(sequence(0, (char_length(unit) - 1) div {BLOCK}), b -> named_struct('first', int(b * {BLOCK}), 'text', substring(unit, int(b * {BLOCK} + 1), {BLOCK + p.longest - 1})))"
+    blocks = units.where("unit <> ''").select(key.alias("key"), "n", F.explode(F.expr(block)).alias("b")).select("key", "n", "b.first", "b.text")
+    starts = blocks.select("key", "n", "first", "text", F.explode(F.sequence(F.lit(0), F.least(F.char_length("text"), F.lit(BLOCK)) - 1)).alias("start"))
+    starts = starts.withColumn("head", F.substring(F.col("text"), F.col("start") + 1, F.lit(3))).join(F.broadcast(reaches), "head", "left")
+    spans = starts.select("key", "n", "first", "text", "start", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(2)), F.char_length("text") - F.col("start")))).alias("len"))
+    spans = spans.select("key", "n", (F.col("first") + F.col("start") + F.col("len")).alias("end"), "len", F.substring(F.col("text"), F.col("start") + 1, F.col("len")).alias("piece"))
     found = spans.join(F.broadcast(table), "piece", "left").where("id is not null or len = 1")
-    edge = F.shiftleft((F.col("start") + F.col("len")).cast("long"), 32) + F.shiftleft((F.lit(255) - F.col("len")).cast("long"), 24) + F.coalesce("id", F.lit(p.unk_id))
-    lattice = found.groupBy("unit", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    edge = F.shiftleft(F.col("end").cast("long"), 32) + F.shiftleft((F.lit(255) - F.col("len")).cast("long"), 24) + F.coalesce("id", F.lit(p.unk_id))
+    lattice = found.groupBy("key", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     scores = np.full(max(i for i, _, _ in p.rows) + 1, p.unk_score)
     for i, _, score in p.rows:
         scores[i] = score
-    lattice = lattice.withColumn("scores", F.lit(scores.tolist()).cast("array<double>"))
-    node = "named_struct('score', {s}, 'edge', {e})"
-    # state: nodes of all ends before the current one, and the best node of the current end
-    ends, back, gain = "cast(shiftright(e, 32) as int)", "cast(shiftright(e, 32) - 255 + (shiftright(e, 24) & 255) as int)", "scores[cast(e & 16777215 as int)]"
+    # one literal, which the optimiser makes an array
+    lattice = lattice.withColumn("scores", F.split(F.lit(",".join(map(repr, scores.tolist()))), ",").cast("array<double>"))
+    end, size, gain = "cast(shiftright(e, 32) as int)", "cast(255 - (shiftright(e, 24) & 255) as int)", "scores[cast(e & 16777215 as int)]"
+    before = f"s.near[2 * ({end} - {size} - s.base)]"
+    full = f"size(s.near) >= {4 * BLOCK}"
+    away = lambda numbers: f"cast(array_join(transform({numbers}, x -> hex(cast(x as bigint) + 2147483648)), '') as binary)"
+    back = lambda far: f"transform(sequence(0, length({far}) - 8, 8), i -> cast(conv(cast(substring({far}, i + 1, 8) as string), 16, 10) as bigint) - 2147483648)"
+    # nodes: score and edge (size and id) of the best path to each end. near holds those from base up to the current end, exclusive, a number
+    # after the other, of two blocks at most. Spark copies the state's arrays at each step, but not bytes: what lies further back
+    # than any piece reaches is put away in far a block at a time, eight hexadecimal digits a number
     fold = f"""
-      aggregate(edges, named_struct('done', cast(array() as array<struct<score:double,edge:bigint>>), 'end', 0, 'best', {node.format(s="cast(0 as double)", e="0L")}),
-        (s, e) -> case when {ends} = s.end
-          then named_struct('done', s.done, 'end', s.end, 'best', case when s.done[{back}].score + {gain} > s.best.score
-            then {node.format(s=f"s.done[{back}].score + {gain}", e="e")} else s.best end)
-          else named_struct('done', concat(s.done, array(s.best)), 'end', {ends}, 'best',
-            {node.format(s=f"(case when {back} = s.end then s.best.score else s.done[{back}].score end) + {gain}", e="e")}) end,
-        s -> transform(concat(s.done, array(s.best)), x -> x.edge))"""
-    path = """
-      aggregate(nodes, named_struct('at', size(nodes) - 1, 'ids', cast(array() as array<int>)),
-        (s, k) -> case when s.at = 0 then s else named_struct('at', s.at - 255 + cast(shiftright(nodes[s.at], 24) & 255 as int), 'ids', concat(array(cast(nodes[s.at] & 16777215 as int)), s.ids)) end,
-        s -> s.ids)"""
-    return lattice.select("unit", "n", F.expr(fold).alias("nodes")).select("unit", "n", F.expr(path).alias("ids"))
+      aggregate(edges, named_struct('far', cast('' as binary), 'near', cast(array() as array<double>), 'base', 0, 'end', 0, 'score', cast(0 as double), 'edge', cast(0 as double)),
+        (s, e) -> case
+          when {end} > s.end then named_struct(
+            'far', case when {full} then concat(s.far, {away(f"filter(slice(s.near, 1, {2 * BLOCK}), (x, i) -> i % 2 = 1)")}) else s.far end,
+            'near', array_append(array_append(case when {full} then slice(s.near, {2 * BLOCK + 1}, {2 * BLOCK}) else s.near end, s.score), s.edge),
+            'base', case when {full} then s.base + {BLOCK} else s.base end,
+            'end', {end}, 'score', {gain} + case when {size} = 1 then s.score else {before} end, 'edge', cast({size} * 16777216L + (e & 16777215) as double))
+          when {before} + {gain} > s.score then
+            named_struct('far', s.far, 'near', s.near, 'base', s.base, 'end', s.end, 'score', {before} + {gain}, 'edge', cast({size} * 16777216L + (e & 16777215) as double))
+          else s end,
+        s -> concat(case when s.base > 0 then {back("s.far")} else cast(array() as array<bigint>) end,
+                    transform(filter(array_append(array_append(s.near, s.score), s.edge), (x, i) -> i % 2 = 1), x -> cast(x as bigint))))"""
+    path = f"""
+      aggregate(nodes, named_struct('at', size(nodes) - 1, 'far', cast('' as binary), 'near', cast(array() as array<int>)),
+        (s, k) -> case when s.at = 0 then s else named_struct(
+          'at', s.at - cast(shiftright(nodes[s.at], 24) as int),
+          'far', case when {full} then concat(s.far, {away("s.near")}) else s.far end,
+          'near', array_append(case when {full} then cast(array() as array<int>) else s.near end, cast(nodes[s.at] & 16777215 as int))) end,
+        s -> reverse(case when length(s.far) > 0 then concat(transform({back("s.far")}, x -> cast(x as int)), s.near) else s.near end))"""
+    return lattice.select("key", "n", F.expr(fold).alias("nodes")).select("key", "n", F.expr(path).alias("ids"))
+
+
+def key_of(unit: str) -> str:
+    return unit if len(unit) < BLOCK else hashlib.sha256(unit.encode()).hexdigest()
 
 
 class UnitTable:
@@ -197,8 +224,8 @@ class UnitTable:
     def __init__(self, path: str):
         files, base = pafs.FileSystem.from_uri(path)
         hashes, ids, sizes = [], [], []
-        for batch in pads.dataset(base, filesystem=files, format="parquet").to_batches(columns=["unit", "ids"], batch_size=16384, use_threads=False, batch_readahead=1, fragment_readahead=1):
-            hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(u) for u in batch.column("unit").to_pylist()), np.uint64, batch.num_rows))
+        for batch in pads.dataset(base, filesystem=files, format="parquet").to_batches(columns=["key", "ids"], batch_size=16384, use_threads=False, batch_readahead=1, fragment_readahead=1):
+            hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(u) for u in batch.column("key").to_pylist()), np.uint64, batch.num_rows))
             col = batch.column("ids")
             ids.append(col.flatten().to_numpy().astype(np.int32))
             sizes.append(np.diff(col.offsets.to_numpy()).astype(np.int32))
@@ -213,7 +240,7 @@ class UnitTable:
 
     def find(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Place of each unit in the table, and whether it is there."""
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, units), np.uint64, len(units))
+        h = np.fromiter((xxhash.xxh3_64_intdigest(u if len(u) < BLOCK else key_of(u)) for u in units), np.uint64, len(units))
         k = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
         return k, self.hash[k] == h if len(self.hash) else np.zeros(len(units), bool)
 
@@ -241,7 +268,7 @@ def encode_batch(texts: pa.StringArray, p: Pieces, table: UnitTable, rest: dict[
     extra, at = [pool], len(pool)
     for n in np.flatnonzero(unknown | ~there):
         unit = own[int(n)].as_py()
-        got = p.spell(unit, pool[start[n] : start[n] + size[n]].tolist() if there[n] else rest[unit])
+        got = p.spell(unit, pool[start[n] : start[n] + size[n]].tolist() if there[n] else rest[key_of(unit)])
         extra.append(np.array(got, np.int32))
         start[n], size[n] = at, len(got)
         at += len(got)
@@ -278,15 +305,9 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
     if clash := {ids_col, decoded_col} & set(docs.columns):
         raise ValueError(f"columns exist: {clash}")
     texts = docs.select(F.col(text_col).alias("text"))
-    spark: SparkSession = docs.sparkSession
-    conf, limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
-    spark.conf.set(conf, "50000")  # a group is a unit's few dozen edges
-    try:
-        table = stored(encode_units(distinct_units(texts, model_path), model_path), "units")
-    finally:
-        spark.conf.set(conf, limit)
+    table = stored(encode_units(distinct_units(texts, model_path), model_path), "units")
     n = table.count()
-    head = table if n <= max_units else stored(table.orderBy(F.desc("n"), "unit").limit(max_units), "head-units")
+    head = table if n <= max_units else stored(table.orderBy(F.desc("n"), "key").limit(max_units), "head-units")
     path = head.inputFiles()[0].rpartition("/")[0] if n else None
     fields, key = docs.columns, "_lattice_key"
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"f{k}") for k, c in enumerate(fields)]).alias("row"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias(key))
@@ -299,20 +320,20 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
                 coded = units.dictionary_encode()
                 lacking = ~seen.find(coded.dictionary.to_pylist())[1]
                 places = np.flatnonzero(lacking[coded.indices.to_numpy()])
-                keys = batch.column(key).take(pa.array(np.searchsorted(first, places, "right") - 1))
-                got = pa.RecordBatch.from_arrays([keys, units.take(pa.array(places))], names=[key, "unit"])
-                yield pa.Table.from_batches([got]).group_by([key, "unit"]).aggregate([]).select([key, "unit"]).combine_chunks().to_batches()[0] if len(places) else got
+                owners = batch.column(key).take(pa.array(np.searchsorted(first, places, "right") - 1))
+                got = pa.RecordBatch.from_arrays([owners, pa.array(map(key_of, units.take(pa.array(places)).to_pylist()), pa.string())], names=[key, "key"])
+                yield pa.Table.from_batches([got]).group_by([key, "key"]).aggregate([]).select([key, "key"]).combine_chunks().to_batches()[0] if len(places) else got
 
-        needs = map_batches(rows.select(key, "text"), tail, f"{key} long, unit string").distinct().join(table.select("unit", "ids"), "unit")
-        rest = needs.groupBy(key).agg(F.collect_list(F.struct("unit", "ids")).alias("rest"))
+        needs = map_batches(rows.select(key, "text"), tail, f"{key} long, key string").distinct().join(table.select("key", "ids"), "key")
+        rest = needs.groupBy(key).agg(F.collect_list(F.struct("key", "ids")).alias("rest"))
         rows = rows.join(rest, key, "left")
     else:
-        rows = rows.withColumn("rest", F.lit(None).cast("array<struct<unit:string,ids:array<int>>>"))
+        rows = rows.withColumn("rest", F.lit(None).cast("array<struct<key:string,ids:array<int>>>"))
 
     def run(batches):
         p = pieces_of(model_path)
         for batch in batches:
-            rest = {r["unit"]: r["ids"] for x in batch.column("rest").drop_null().to_pylist() for r in x}
+            rest = {r["key"]: r["ids"] for x in batch.column("rest").drop_null().to_pylist() for r in x}
             texts = batch.column("text")
             ids, at = encode_batch(texts, p, unit_table(path), rest) if path else (np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64))
             decoded = pa.nulls(len(texts), pa.string())
