@@ -137,7 +137,8 @@ def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
 
 
 def distinct_units(texts: DataFrame, model_path: str, most: int = 400_000) -> DataFrame:
-    """unit, n: the units of texts.text, n being in how many portions of the tasks' texts they were; distinct per portion first."""
+    """unit, key, n: the units of texts.text, n being in how many portions of the tasks' texts they were; distinct per portion first. A unit's
+    key is its text, or from BLOCK characters on its SHA-256; rows are dealt by it, so that what follows by key moves nothing."""
 
     def run(batches):
         p = pieces_of(model_path)
@@ -151,14 +152,15 @@ def distinct_units(texts: DataFrame, model_path: str, most: int = 400_000) -> Da
             done |= fresh
             yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.string())], names=["unit"])
 
-    return map_batches(texts, run, "unit string").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    key = F.when(F.char_length("unit") < BLOCK, F.col("unit")).otherwise(F.sha2("unit", 256))
+    return map_batches(texts, run, "unit string").withColumn("key", key).repartition("key").groupBy("unit", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def encode_units(units: DataFrame, model_path: str) -> DataFrame:
-    """key, n, ids of each distinct unit: explode, equi-join, group, fold; all native. units must hold each unit once.
+    """key, n, ids of each distinct unit (unit, key, n): explode, equi-join, group, fold; all native. units must hold each unit once.
 
-    A unit is cut into blocks of BLOCK starts with what the longest piece needs behind them, so that no row of a span carries a long unit;
-    its key is its text, or from BLOCK characters on its SHA-256. How many lengths are exploded at a start follows from its first three
+    A unit is cut into blocks of BLOCK starts with what the longest piece needs behind them, so that no row of a span carries a long unit.
+    How many lengths are exploded at a start follows from its first three
     characters (no longer piece begins so). An edge is one long: end, length (the longest first) and id; scores are looked up by id.
     """
     spark = units.sparkSession
@@ -168,9 +170,8 @@ def encode_units(units: DataFrame, model_path: str) -> DataFrame:
     for _, t, _ in p.rows:
         reach[t[:3]] = max(len(t), reach.get(t[:3], 0))
     reaches = spark.createDataFrame([(k, n) for k, n in reach.items() if len(k) == 3], "head string, reach int")
-    key = F.when(F.char_length("unit") < BLOCK, F.col("unit")).otherwise(F.sha2("unit", 256))
     block = f"transform(sequence(0, (char_length(unit) - 1) div {BLOCK}), b -> named_struct('first', int(b * {BLOCK}), 'text', substring(unit, int(b * {BLOCK} + 1), {BLOCK + p.longest - 1})))"
-    blocks = units.where("unit <> ''").select(key.alias("key"), "n", F.explode(F.expr(block)).alias("b")).select("key", "n", "b.first", "b.text")
+    blocks = units.where("unit <> ''").select("key", "n", F.explode(F.expr(block)).alias("b")).select("key", "n", "b.first", "b.text")
     starts = blocks.select("key", "n", "first", "text", F.explode(F.sequence(F.lit(0), F.least(F.char_length("text"), F.lit(BLOCK)) - 1)).alias("start"))
     starts = starts.withColumn("head", F.substring(F.col("text"), F.col("start") + 1, F.lit(3))).join(F.broadcast(reaches), "head", "left")
     spans = starts.select("key", "n", "first", "text", "start", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(2)), F.char_length("text") - F.col("start")))).alias("len"))
