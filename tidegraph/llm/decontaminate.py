@@ -3,14 +3,17 @@
 Texts become words joined by single spaces, so that a window of benchmark words is a byte string that begins and ends with a
 space. Of m, the length of the shortest window of a class, a table over hashed 8-byte blocks gives how far a search position
 may move on; only where a block can end the first m bytes of a window is its bucket opened and each window in it
-compared byte by byte. Many positions of a batch move at once in numpy.
+compared byte by byte. Many positions of a batch move at once in numpy. The benchmark is cut into shards; the tables of each
+are built once, by one task, and stored in the shared folder, from which the tasks that search read them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+import pickle
 from collections import defaultdict
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +22,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import map_batches, shared_dir
+from tidegraph.llm.common import map_batches, stored
 
 #: Word bytes stay (A-Z lower-cased); all others become spaces.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SHORT, BLOCK, BITS = 24, 8, 22
-SPLIT_BYTES = 4 << 20
+#: Benchmark text of a shard, and how many shards a worker holds.
+SPLIT_BYTES, HELD = 1 << 20, 2
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -33,19 +37,24 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Finds all occurrences of byte patterns; patterns: distinct, each of 3 bytes at least."""
+    """Finds all occurrences of byte patterns; patterns: distinct, each of 3 bytes at least. The bucket of a block is a run of the
+    patterns sorted by the block that ends their first m bytes."""
 
     def __init__(self, patterns: list[bytes]):
-        self.m = min(map(len, patterns))
+        sizes = np.array([len(p) for p in patterns], np.int64)
+        self.m = int(sizes.min())
         self.b = min(BLOCK, self.m)
         self.mask = np.uint64((1 << 8 * self.b) - 1)
-        self.shift = np.full(1 << BITS, self.m - self.b + 1, np.int32)
-        self.bucket: dict[int, list[bytes]] = defaultdict(list)
-        for p in patterns:
-            for end in range(self.b, self.m + 1):
-                h = self.slots(np.array([int.from_bytes(p[end - self.b : end], "little")], np.uint64))[0]
-                self.shift[h] = min(self.shift[h], self.m - end)
-            self.bucket[int.from_bytes(p[self.m - self.b : self.m], "little")].append(p)
+        far = min(self.m - self.b + 1, 255)
+        self.shift = np.full(1 << BITS, far, np.uint8)
+        text = b"".join(patterns) + b"\0" * BLOCK
+        view = np.ndarray((len(text) - BLOCK + 1,), "<u8", text, strides=(1,))
+        starts = np.cumsum(sizes) - sizes
+        for end in range(max(self.b, self.m - far), self.m + 1):  # later ends have lesser shifts
+            self.shift[self.slots(view[starts + (end - self.b)] & self.mask)] = self.m - end
+        suffix = view[starts + (self.m - self.b)] & self.mask
+        order = np.argsort(suffix, kind="stable")
+        self.suffix, self.order, self.patterns = suffix[order], order, patterns
 
     @staticmethod
     def slots(blocks: np.ndarray) -> np.ndarray:
@@ -72,10 +81,12 @@ class WuManber:
             if not live.all():
                 at, end = at[live], end[live]
         for places, blocks in found:
-            for p, block in zip(places.tolist(), blocks.tolist(), strict=True):
-                for pattern in self.bucket.get(block, ()):
-                    if data.startswith(pattern, p):
-                        yield p, pattern
+            first, last = np.searchsorted(self.suffix, blocks), np.searchsorted(self.suffix, blocks, "right")
+            some = np.flatnonzero(first < last)
+            for p, a, b in zip(places[some].tolist(), first[some].tolist(), last[some].tolist(), strict=True):
+                for k in self.order[a:b].tolist():
+                    if data.startswith(self.patterns[k], p):
+                        yield p, self.patterns[k]
 
 
 class Windows:
@@ -95,6 +106,26 @@ class Windows:
         self.search = [WuManber(c) for c in classes if c]
 
 
+@lru_cache(maxsize=HELD)
+def shard(uri: str) -> list[Windows]:
+    """The tables in a file of build_shards."""
+    files, path = pafs.FileSystem.from_uri(uri)
+    return [pickle.loads(x.as_py()) for x in pq.read_table(path, filesystem=files)["tables"]]
+
+
+def build_shards(items: DataFrame, window: int, n: int) -> list[str]:
+    """URIs of Parquet files with the packed tables of n shards of items (item, text) or fewer."""
+
+    def run(batches):
+        own = [(i, t) for b in batches for i, t in zip(b.column("item").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        made = Windows(own, window)
+        if made.search:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made, protocol=5)], pa.binary())], names=["tables"])
+
+    built = stored(map_batches(items.repartition(n), run, "tables binary"), "benchmark")
+    return sorted(built.inputFiles()) if not built.isEmpty() else []
+
+
 def match_batch(texts: list[str | None], shards) -> list[tuple[int, int, list[str], np.ndarray]]:
     """(n_words, n_hit, sorted items, hit words as a boolean array) of each text."""
     docs = [words_of(t) for t in texts]
@@ -106,7 +137,7 @@ def match_batch(texts: list[str | None], shards) -> list[tuple[int, int, list[st
     spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
     cover = np.zeros(len(spaces) + 1, np.int32)
     items: dict[int, set[str]] = defaultdict(set)
-    for windows in shards:
+    for windows in chain.from_iterable(shards):
         for search in windows.search:
             places, patterns = [], []
             for p, pattern in search.find(data):
@@ -130,36 +161,20 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, items (array), text columns unread otherwise;
     with whole, also row, a struct of all its columns.
 
-    No shuffle of docs. Items are sent with the tasks where all their texts have split_bytes at most (measured first); larger benchmarks
-    are written to the shared folder in shards of about that size, and tasks open one shard after another for each batch.
+    No shuffle of docs. The tables of the benchmark's shards, of about split_bytes of text each, are built once and read by the tasks, which
+    hold HELD of them at a time; what a task reads of them for each batch grows with the benchmark, not with docs.
     Null text: no words. An item without words has no window; rows that repeat an item id add windows; a null item id
     is listed as "null". Empty tables: no rows, or no hits. Other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(docs.columns if whole else [text_col])).alias("row"))
     passed = ["row"] if whole else []
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    small = [tuple(r) for r in items.toLocalIterator()] if size <= split_bytes else None
-    folder = f"{shared_dir(spark)}/benchmark-{uuid.uuid4().hex}"
-    if small is None:
-        items.repartition(-(-size // split_bytes)).write.parquet(folder)
+    uris = build_shards(items, window, max(1, -(-size // split_bytes)))
 
     def run(batches):
-        in_memory = [Windows(small, window)] if small is not None else None
-
-        def shards():
-            if in_memory is not None:
-                yield from in_memory
-                return
-            files, base = pafs.FileSystem.from_uri(folder)
-            for info in sorted(files.get_file_info(pafs.FileSelector(base)), key=lambda x: x.path):
-                if info.path.endswith(".parquet"):
-                    t = pq.read_table(info.path, filesystem=files)
-                    yield Windows(list(zip(t["item"].to_pylist(), t["text"].to_pylist(), strict=True)), window)
-
         for batch in batches:
-            got = match_batch(batch.column("row").field(text_col).to_pylist(), shards())
+            got = match_batch(batch.column("row").field(text_col).to_pylist(), map(shard, uris))
             shas = [hashlib.sha256(",".join(g[2]).encode()).hexdigest() for g in got]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), *(pa.array(x, t) for x, t in (([g[0] for g in got], pa.int64()), ([g[1] for g in got], pa.int64()), ([len(g[2]) for g in got], pa.int64()), (shas, pa.string()), ([g[1] > 0 for g in got], pa.bool_()), ([g[2] for g in got], pa.list_(pa.string())))), *map(batch.column, passed)],
