@@ -299,6 +299,16 @@ def test_wu_manber_finds_every_occurrence(text, patterns):
     assert sorted(decontaminate.WuManber(ps).find(data, lane=16)) == want
 
 
+def test_decontamination_tables_are_built_fast():
+    r = random.Random(4)
+    items = [(str(k), " ".join(f"w{r.randrange(5000)}" for _ in range(2000))) for k in range(90)]
+    began = time.time()
+    windows = decontaminate.Windows(items, 10)
+    assert time.time() - began < 10 and len(windows.items) > 170_000
+    text = "x " + " ".join(items[7][1].split()[100:125]) + " y"
+    assert decontaminate.match_batch([text], [[windows]])[0][:3] == (27, 25, ["7"])
+
+
 # 7 toxicity
 
 
@@ -414,6 +424,14 @@ def test_pii_further_disguises(kind, part):
     assert not base and every == [(kind, 6, 6 + len(part))]
 
 
+@pytest.mark.parametrize(("text", "every"), [
+    ("to john@exam\u200bple.com now", [("email", 3, 20)]), ("to john@example.co\u200bm now", [("email", 3, 18), ("email", 3, 20)]), ("to \u200bjohn@a.bc\u200b", [("email", 4, 13)]),
+    ("at 192.168\u200b.0.1 now", [("ip", 3, 15)]), ("call +1 555 \u2060123 4567", [("phone", 5, 21)]), ("jo\xadhn [at] ex\u200dample dot com", [("email", 0, 27)]),
+])
+def test_pii_characters_without_width(text, every):
+    assert pii.find_pii(text)[1] == every
+
+
 def test_pii_bracketed_at_takes_any_white_space():
     for part in ("anna (  at ) uni.org", "anna [\tAT] uni.org"):
         assert pii.find_pii(f"go to {part} now")[1] == [("email", 6, 6 + len(part))]

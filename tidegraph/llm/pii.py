@@ -1,9 +1,9 @@
 """Personal data: base patterns on the text itself, and the same patterns on a deobfuscated text whose spans map back.
 
 Transducers rewrite homoglyphs, digit names (also among numerals) and at/dot disguises; each keeps, for every rewritten piece, where it
-came from, so a span found in the normalised text becomes a span of source characters. Addresses whose four parts are numerals or digit names
+came from, so a span found in the normalised text becomes a span of source characters. Characters without width vanish. Addresses whose four parts are numerals or digit names
 with plain, bracketed or spelled dots are sought as such. Base spans always stay; a disguised one is added where it holds a rewritten
-piece and meets no span of its kind. Digit names are English; names of larger numbers ("ninety") are not read.
+piece and those of its kind that it meets lie within it. Digit names are English; names of larger numbers ("ninety") are not read.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +27,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKE = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅοαερυιΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwABEKMHOPCTXIJSoaepuiABEZHIKMNOPTYX", strict=True))
+#: Soft hyphen, zero-width space, non-joiner and joiner, word joiner, byte order mark.
+WIDTHLESS = "\xad\u200b\u200c\u200d\u2060\ufeff"
 #: English names of digits.
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 SPELLED = re.compile(rf"(?i)\b(?:plus[\s-]+)?(?:{'|'.join(DIGITS)})(?:[\s,.-]+(?:{'|'.join(DIGITS)})){{6,}}\b")
@@ -88,18 +90,20 @@ def find_all(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def homoglyphs(text: str) -> list[Piece]:
-    """Look-alike letters, full-width characters and digits of other scripts as (start, end, replacement)."""
+    """Look-alike letters, full-width characters and digits of other scripts as (start, end, replacement); characters without width go."""
     out = []
-    for m in re.finditer(r"[^\x00-˿]", text):
+    for m in re.finditer(r"[^\x00-\xac\xae-˿]", text):
         c = m[0]
-        if (new := LOOKALIKE.get(c)) is None:
+        if c in WIDTHLESS:
+            new = ""
+        elif (new := LOOKALIKE.get(c)) is None:
             if "！" <= c <= "～":
                 new = chr(ord(c) - 0xFEE0)
             elif (d := unicodedata.decimal(c, None)) is not None:
                 new = str(d)
             elif "\U0001d400" <= c <= "\U0001d7ff" or c in "․。｡":
                 new = unicodedata.normalize("NFKC", c) if c > "￿" else "."
-        if new is not None and len(new) == 1 and new.isascii():
+        if new is not None and len(new) < 2 and new.isascii():
             out.append((m.start(), m.end(), new))
     return out
 
@@ -231,11 +235,17 @@ def find_pii(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[s
     if not text.isascii():
         plain.apply(homoglyphs)
 
+    cover = {k: list(v) for k, v in base.items()}  # spans of a kind that lie apart; a longer one takes the place of those within it
+
     def add(kind: str, a: int, b: int) -> None:
-        """The spans of a kind stay apart, so only the neighbours can meet a new one."""
-        k = bisect_right(every[kind], (a, b))
-        if not any(x < b and a < y for x, y in every[kind][max(0, k - 1) : k + 1]):
-            every[kind].insert(k, (a, b))
+        own = cover[kind]
+        k = bisect_right(own, (a, a))
+        first = k - 1 if k and own[k - 1][1] > a else k
+        last = bisect_right(own, (b - 1, float("inf")), first)
+        met = own[first:last]
+        if (a, b) not in met and all(a <= x and y <= b for x, y in met):
+            own[first:last] = [(a, b)]
+            insort(every[kind], (a, b))
 
     for transducer in (spelled_digits, mixed_digits):  # digits beside a spelled-out number need not belong to it
         n = Normalised(text)
