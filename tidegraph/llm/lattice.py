@@ -136,9 +136,10 @@ def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     return values[np.arange(ends[-1]) + np.repeat(start - ends + size, size)] if len(ends) else values[:0]
 
 
-def distinct_units(texts: DataFrame, model_path: str, most: int = 400_000) -> DataFrame:
+def distinct_units(texts: DataFrame, model_path: str, most: int = 200_000) -> DataFrame:
     """unit, key, n: the units of texts.text, n being in how many portions of the tasks' texts they were; distinct per portion first. A unit's
-    key is its text, or from BLOCK characters on its SHA-256; rows are dealt by it, so that what follows by key moves nothing."""
+    key is its text, or from BLOCK characters on its SHA-256; rows are dealt by it, so that what follows by key moves nothing, into four times
+    the partitions that the session shuffles by: a unit has dozens of edges, so its bytes are no measure of what follows."""
 
     def run(batches):
         p = pieces_of(model_path)
@@ -152,8 +153,9 @@ def distinct_units(texts: DataFrame, model_path: str, most: int = 400_000) -> Da
             done |= fresh
             yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.string())], names=["unit"])
 
+    lanes = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.when(F.char_length("unit") < BLOCK, F.col("unit")).otherwise(F.sha2("unit", 256))
-    return map_batches(texts, run, "unit string").withColumn("key", key).repartition("key").groupBy("unit", "key").agg(F.count(F.lit(1)).alias("n"))
+    return map_batches(texts, run, "unit string", 2 << 20).withColumn("key", key).repartition(lanes, "key").groupBy("unit", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def encode_units(units: DataFrame, model_path: str) -> DataFrame:
@@ -311,7 +313,8 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
     head = table if n <= max_units else stored(table.orderBy(F.desc("n"), "key").limit(max_units), "head-units")
     path = head.inputFiles()[0].rpartition("/")[0] if n else None
     fields, key = docs.columns, "_lattice_key"
-    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"f{k}") for k, c in enumerate(fields)]).alias("row"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias(key))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"f{k}") for k, c in enumerate(fields)]).alias("row"), F.xxhash64(F.col(text_col)).alias(key))
+    place = f"f{fields.index(text_col)}"  # of the text in a row: it is sent once
     if n > max_units:
 
         def tail(batches):
@@ -325,7 +328,7 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
                 got = pa.RecordBatch.from_arrays([owners, pa.array(map(key_of, units.take(pa.array(places)).to_pylist()), pa.string())], names=[key, "key"])
                 yield pa.Table.from_batches([got]).group_by([key, "key"]).aggregate([]).select([key, "key"]).combine_chunks().to_batches()[0] if len(places) else got
 
-        needs = map_batches(rows.select(key, "text"), tail, f"{key} long, key string").distinct().join(table.select("key", "ids"), "key")
+        needs = map_batches(rows.select(key, F.col(f"row.{place}").alias("text")), tail, f"{key} long, key string").distinct().join(table.select("key", "ids"), "key")
         rest = needs.groupBy(key).agg(F.collect_list(F.struct("key", "ids")).alias("rest"))
         rows = rows.join(rest, key, "left")
     else:
@@ -335,15 +338,15 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
         p = pieces_of(model_path)
         for batch in batches:
             rest = {r["key"]: r["ids"] for x in batch.column("rest").drop_null().to_pylist() for r in x}
-            texts = batch.column("text")
+            texts = batch.column("row").field(place)
             ids, at = encode_batch(texts, p, unit_table(path), rest) if path else (np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64))
             decoded = pa.nulls(len(texts), pa.string())
             if decoded_col:
                 decoded = pc.if_else(pc.is_valid(texts), decode_batch(ids, at, p), decoded)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), decoded], names=["row", "ids", "decoded"])
 
-    kept = rows.select("row", "text", "rest")
-    out = map_batches(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, ids array<int>, decoded string", 4 << 20)
+    kept = rows.select("row", "rest")
+    out = map_batches(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, ids array<int>, decoded string", 2 << 20)
     more = [F.col("decoded").alias(decoded_col)] if decoded_col else []
     return out.select(*[F.col("row")[f"f{k}"].alias(c) for k, c in enumerate(fields)], F.col("ids").alias(ids_col), *more)
 
