@@ -301,10 +301,18 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def mask_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with all found spans masked in text_col; other columns stay as they are."""
+    """docs with all found spans masked in text_col; other columns, whatever their names, stay as they are. Null texts stay null and empty ones
+    empty; repeated rows stay; an empty table gives no rows."""
 
-    @F.pandas_udf("string")
-    def clean(col):
-        return col.map(lambda t: None if t is None else masked(t, found) if (found := find_pii(t)[1]) else t)
+    fields = docs.columns
+    place = f"f{fields.index(text_col)}"
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"f{k}") for k, c in enumerate(fields)]).alias("row"))
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("row").field(place).to_pylist()
+            clean = [None if t is None else masked(t, found) if (found := find_pii(t)[1]) else t for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(clean, pa.string())], names=["row", "clean"])
+
+    out = map_batches(rows, run, f"row {rows.schema['row'].dataType.simpleString()}, clean string")
+    return out.select(*[F.col("clean" if c == text_col else f"row.f{k}").alias(c) for k, c in enumerate(fields)])
