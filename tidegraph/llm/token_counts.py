@@ -5,7 +5,8 @@ with the offsets of its tokens, and the chunks are spliced where both hold the *
 proven, not guessed: the merges of a score-ordered BPE give a token sequence if and only if they give every two neighbours of
 it (a merge across a boundary would be the best one left for its two neighbours alone as well). In A[..i] + B[j+1..] with
 A[i] = B[j] each pair of neighbours stands in A or in B, so the splice is the encoding of the joined text. Where the overlap
-holds no such token it is doubled; once it reaches the start of the text, the prefix is encoded in one call and chunks grow.
+holds no such token it is doubled; once it reaches the start of the text, the prefix is encoded in one call and chunks grow. A splice
+touches the chunks that the overlap meets, not those before them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from tidegraph.llm.common import map_batches
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
-    """A sentencepiece processor and the code points that each id covers (continuation bytes cover none)."""
+    """A sentencepiece processor, the code points that each id covers (continuation bytes cover none), and whether the id is a piece of
+    text (bytes of one character share its offsets, so only pieces can be common to two chunks)."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -36,7 +38,8 @@ def tokenizer(path: str):
             width[i] = -1
         else:
             width[i] = len(piece)
-    return sp, width
+    piece = np.array([not (sp.is_byte(i) or sp.is_unknown(i) or sp.is_control(i)) for i in range(len(width))])
+    return sp, width, piece
 
 
 class OverlapCounter:
@@ -45,7 +48,7 @@ class OverlapCounter:
     def __init__(self, path: str, chunk_chars: int = 32768, overlap_chars: int = 512):
         if not 0 < overlap_chars < chunk_chars:
             raise ValueError("overlap_chars must lie between 0 and chunk_chars")
-        self.sp, self.width = tokenizer(path)
+        self.sp, self.width, self.piece = tokenizer(path)
         self.chunk, self.overlap = chunk_chars, overlap_chars
         self.chunks = self.widened = 0
 
@@ -60,43 +63,58 @@ class OverlapCounter:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, as one call would give them."""
+        return np.concatenate([part[0] for part in self.parts(text)])
+
+    def count(self, text: str) -> int:
+        return sum(len(part[0]) for part in self.parts(text))
+
+    def parts(self, text: str) -> list[tuple[np.ndarray, ...]]:
+        """Arrays of ids, starts and ends, which one after the other encode the text (ids alone if it was encoded in one call)."""
         self.chunks, self.widened = 1, 0
+        whole = lambda: [(np.asarray(self.sp.encode(text), dtype=np.int64),)]
         if len(text) <= self.chunk:
-            return np.asarray(self.sp.encode(text), dtype=np.int64)
+            return whole()
         chunk, done = self.chunk, self.chunk
-        kept = self.spans(text, 0, done)
-        while kept is not None and done < len(text):
+        first = self.spans(text, 0, done)
+        if first is None:
+            return whole()
+        kept = [first]
+        while done < len(text):
             self.chunks += 1
-            end, overlap, joined = min(len(text), done + chunk), self.overlap, None
-            while joined is None and overlap < done:
+            end, overlap, joined = min(len(text), done + chunk), self.overlap, False
+            while not joined and overlap < done:
                 joined = self.splice(kept, self.spans(text, done - overlap, end), done - overlap)
-                if joined is None:
+                if not joined:
                     self.widened += 1
                     overlap *= 2
-            if joined is None:
+            if not joined:
                 chunk *= 2
                 end = min(len(text), done + chunk)
-                joined = self.spans(text, 0, end)
-            kept, done = joined, end
-        return kept[0] if kept is not None else np.asarray(self.sp.encode(text), dtype=np.int64)
-
-    @staticmethod
-    def splice(a, b, from_char: int):
-        """a up to and with the first token that b has at the same place, then b; None without such a token."""
+                if (first := self.spans(text, 0, end)) is None:
+                    return whole()
+                kept = [first]
+            done = end
+        return kept
+
+    def splice(self, kept: list[tuple[np.ndarray, ...]], b: tuple[np.ndarray, ...] | None, from_char: int) -> bool:
+        """Cut kept behind the first piece that b has at the same place, and append what b has behind it; False without such a piece."""
         if b is None:
-            return None
+            return False
+        k = len(kept) - 1
+        while k and kept[k][1][0] > from_char:
+            k -= 1
+        a = tuple(np.concatenate(x) for x in zip(*kept[k:], strict=True))
         low = int(np.searchsorted(a[1], from_char))
-        key_a = (a[1][low:] << 6) | (a[2][low:] - a[1][low:])
-        key_b = (b[1] << 6) | (b[2] - b[1])
-        # bytes of one character share offsets: only tokens with a width of their own can be common
-        in_a = np.flatnonzero((a[2] > a[1])[low:] & (a[0][low:] >= 259))
-        in_b = np.flatnonzero((b[2] > b[1]) & (b[0] >= 259) & (b[1] >= from_char))
-        common, i, j = np.intersect1d(key_a[in_a], key_b[in_b], return_indices=True)
-        for k in range(len(common)):
-            x, y = low + int(in_a[i[k]]), int(in_b[j[k]])
-            if a[0][x] == b[0][y]:
-                return tuple(np.concatenate([p[: x + 1], q[y + 1 :]]) for p, q in zip(a, b, strict=True))
-        return None
+        in_a = np.flatnonzero((a[2] > a[1])[low:] & self.piece[a[0][low:]]) + low
+        in_b = np.flatnonzero((b[2] > b[1]) & self.piece[b[0]] & (b[1] >= from_char))
+        _, i, j = np.intersect1d(a[1][in_a], b[1][in_b], assume_unique=True, return_indices=True)
+        x, y = in_a[i], in_b[j]
+        same = np.flatnonzero((a[0][x] == b[0][y]) & (a[2][x] == b[2][y]))
+        if not len(same):
+            return False
+        x, y = int(x[same[0]]) + 1, int(y[same[0]]) + 1
+        kept[k:] = [tuple(part[:x] for part in a)] + ([tuple(part[y:] for part in b)] if y < len(b[0]) else [])
+        return True
 
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 32768, overlap_chars: int = 512, limit: int = 4096) -> DataFrame:
@@ -117,7 +135,7 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                 out[k] = (len(ids), 1, 0)
             for k, t in enumerate(texts):
                 if len(t) > chunk_chars:
-                    out[k] = (len(counter.encode(t)), counter.chunks, counter.widened)
+                    out[k] = (counter.count(t), counter.chunks, counter.widened)
             n = np.array(out, dtype=np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n[:, 0]), pa.array(n[:, 0] > limit), pa.array(n[:, 1]), pa.array(n[:, 2])],
