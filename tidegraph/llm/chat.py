@@ -109,10 +109,10 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str]]:
 
 def digest_conversations(parts: DataFrame) -> DataFrame:
     """Read the output of format_conversations back, part by part in its order (no shuffle between): conv_id, n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    turns_sha256, loss_chars, loss_sha256, formatted_chars. Parts that do not follow each other raise an error; an empty table gives no rows."""
 
     def run(batches):
-        now = None
+        now, due = None, 0
 
         def row():
             return (now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5])
@@ -127,7 +127,10 @@ def digest_conversations(parts: DataFrame) -> DataFrame:
                 if part == 0:
                     if now is not None:
                         rows.append(row())
-                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, due = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], 0
+                if part != due or now is None or conv != now[0]:
+                    raise ValueError(f"part {part} of conversation {conv} does not follow the one before")
+                due += 1
                 for role, said in read_turns(text):
                     now[1] += 1
                     now[2].update(f"{role}\n{said}\n".encode())
