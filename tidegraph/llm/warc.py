@@ -18,7 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import map_batches, shared_dir, stored
+from tidegraph.llm.common import delete, map_batches, shared_dir, stored
 
 GZIP, LEVEL, READ = 31, 4, 1 << 20
 
@@ -215,11 +215,16 @@ def read_archives(files: DataFrame) -> DataFrame:
     return map_batches(files.select("warc", "idx"), run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, offset long, length long")
 
 
-def archive_round_trip(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
-    """Write, normalise and read back; the files stay under folder (the shared folder by default) for other readers."""
+def archive_round_trip(pages: DataFrame, folder: str | None = None, keep_raw: bool = False, **columns) -> DataFrame:
+    """Write, normalise and read back; the files stay under folder (the shared folder by default) for other readers. folder/manifest, a Parquet
+    table (warc, idx, n_records), names the normalised archives that count; others are left over from attempts that failed or were repeated.
+    The whole-file streams are deleted once all are normalised."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     raw = stored(write_archives(pages, f"{folder}/raw", **columns), "warc-raw")
     lanes = max(1, spark.sparkContext.defaultParallelism)
-    normal = stored(normalise(raw.repartition(4 * lanes, "file"), f"{folder}/normal"), "warc-normal")
-    return read_archives(normal.repartition(4 * lanes, "warc"))
+    normal = normalise(raw.repartition(4 * lanes, "file"), f"{folder}/normal")
+    normal.write.parquet(f"{folder}/manifest")
+    if not keep_raw:
+        delete(spark, f"{folder}/raw")
+    return read_archives(spark.read.schema(normal.schema).parquet(f"{folder}/manifest").repartition(4 * lanes, "warc"))
