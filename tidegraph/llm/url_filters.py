@@ -1,7 +1,7 @@
 """URL filters: exact host/path rules, and a path-template tree for what no rule decides.
 
 All work is relational. Variable segments (numbers, hexadecimal ids, long mixed ids) are generalised lexically, so that a host
-with a third of all urls becomes a few rows per template in the map-side aggregation. Then, level by level, each branch is
+with a third of all urls becomes a few rows per template in the map-side aggregation. Then, from the root down, each branch is
 compared with its pooled siblings by a G-test over (blocked, allowed, unlabelled) x (leaf, inner); a branch that does not differ
 significantly (a rare one cannot) is merged with them into the wildcard ``*``. A template is rejected when its smoothed
 labelled purity (blocked + smoothing * prior) / (labelled + smoothing), prior being the share of blocked among all labelled urls,
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tidegraph.llm.common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MAX_RULES = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -30,9 +29,8 @@ def path_of(url: Column) -> Column:
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, nulls without one. rules: (verdict, "host/path")."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules fit one expression")
+    """(rule, verdict) of the longest rule that fits, nulls without one. rules: (verdict, "host/path"), a list as long as one writes by hand,
+    since all of them become one expression."""
     found, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for kind, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         name, slash, rest = text.partition("/")
@@ -49,25 +47,31 @@ def shape_of(path: Column) -> Column:
     return F.regexp_replace(s, r"(?<![{\w])[0-9]+|[0-9]+(?=[/.]|$)", "{n}")
 
 
-def template_tree(counts: DataFrame, max_depth: int = 6, critical: float = 16.0) -> DataFrame:
+def template_tree(counts: DataFrame, critical: float = 16.0) -> DataFrame:
     """counts (host, shape, n, n_block, n_allow), one row a pair, with the template of each shape: host, shape, template.
 
-    Segments deeper than max_depth are the wildcard ``**``. critical: the G value (5 degrees of freedom) from which a branch
-    differs from its siblings; 16 is about p = 0.007.
+    critical: the G value (5 degrees of freedom) from which a branch differs from its siblings; 16 is about p = 0.007. Each round takes every
+    group of shapes with one beginning to where its shapes part, however deep, so there are as many rounds as partings on a path.
     """
-    cut = F.split("shape", "/")
-    rows = counts.select("host", "shape", "n", "n_block", "n_allow", F.when(F.size(cut) > max_depth + 1, F.concat(F.slice(cut, 1, max_depth + 1), F.array(F.lit("**")))).otherwise(cut).alias("seg"))
     kinds = [f"c{i}" for i in range(6)]
-    for d in range(1, max_depth + 1):
-        rows = stored(rows, "url-level")  # a level's plan reads its rows three times
-        if rows.where(F.size("seg") > d).isEmpty():
+    key = lambda depth: F.array_join(F.slice("seg", F.lit(1), depth), "/")
+    rows = counts.select("host", "shape", "n", "n_block", "n_allow", F.split("shape", "/").alias("seg"), F.lit(1).alias("depth"), F.lit(True).alias("open"))
+    while True:
+        rows = stored(rows, "url-level")  # a round's plan reads its rows several times
+        if rows.where("open").isEmpty():
             break
-        leaf = F.size("seg") <= d + 1
+        live = rows.where("open").withColumn("prefix", key(F.col("depth")))
+        ends = live.groupBy("host", "prefix", "depth").agg(F.min("seg").alias("low"), F.max("seg").alias("high"))
+        # shapes of a group agree up to where the least and the greatest part; 0: there is but one shape
+        parting = F.array_position(F.zip_with("low", "high", lambda x, y: ~x.eqNullSafe(y)), True).cast("int")
+        at = live.join(ends.select("host", "prefix", "depth", parting.alias("parting")), ["host", "prefix", "depth"])
+        at = at.select("host", "shape", "n", "n_block", "n_allow", "seg", (F.col("parting") - 1).alias("d"), ((F.col("parting") > 0) & (F.size("seg") >= F.col("parting"))).alias("open"))
+        at = at.withColumn("prefix", F.when(F.col("open"), key(F.col("d")))).withColumn("branch", F.when(F.col("open"), F.get("seg", F.col("d"))))
+        leaf = F.size("seg") <= F.col("d") + 1
         none = F.col("n") - F.col("n_block") - F.col("n_allow")
         sums = [F.sum(F.when(leaf == F.lit(k < 3), v).otherwise(F.lit(0))).alias(kinds[k]) for k, v in enumerate([F.col("n_block"), F.col("n_allow"), none] * 2)]
-        at = rows.where(F.size("seg") > d).select("host", F.array_join(F.slice("seg", 1, d), "/").alias("prefix"), F.col("seg")[d].alias("branch"), "seg", "n", "n_block", "n_allow")
-        branches = at.groupBy("host", "prefix", "branch").agg(*sums)
-        pools = branches.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("n_branches"), *[F.sum(k).alias(f"p{k}") for k in kinds]).where("n_branches > 1")
+        branches = at.where("open").groupBy("host", "prefix", "d", "branch").agg(*sums)
+        pools = branches.groupBy("host", "prefix", "d").agg(F.count(F.lit(1)).alias("n_branches"), *[F.sum(k).alias(f"p{k}") for k in kinds]).where("n_branches > 1")
         total, pool = sum(F.col(k) for k in kinds), sum(F.col(f"p{k}") for k in kinds)
         rest = pool - total
 
@@ -76,17 +80,17 @@ def template_tree(counts: DataFrame, max_depth: int = 6, critical: float = 16.0)
             return F.when((seen > 0) & (both > 0), 2 * seen * F.log(seen * pool / (share * both))).otherwise(F.lit(0.0))
 
         g = sum(part(F.col(k), total, F.col(f"p{k}")) + part(F.col(f"p{k}") - F.col(k), rest, F.col(f"p{k}")) for k in kinds)
-        merged = branches.join(pools, ["host", "prefix"]).where(g < critical).select("host", "prefix", "branch", F.lit(True).alias("merge"))
-        rows = (
-            rows.withColumn("prefix", F.array_join(F.slice("seg", 1, d), "/")).withColumn("branch", F.get("seg", F.lit(d)))
-            .join(merged, ["host", "prefix", "branch"], "left")
-            .withColumn("seg", F.when(F.col("merge"), F.concat(F.slice("seg", 1, d), F.array(F.lit("*")), F.slice("seg", d + 2, max_depth + 2))).otherwise(F.col("seg")))
-            .select("host", "shape", "n", "n_block", "n_allow", "seg")
-        )
+        merged = branches.join(pools, ["host", "prefix", "d"]).where(g < critical).select("host", "prefix", "d", "branch", F.lit(True).alias("merge"))
+        moved = at.where("open").join(merged, ["host", "prefix", "d", "branch"], "left")
+        seg = F.when(F.col("merge"), F.concat(F.slice("seg", F.lit(1), F.col("d")), F.array(F.lit("*")), F.slice("seg", F.col("d") + 2, F.size("seg")))).otherwise(F.col("seg"))
+        columns = ["host", "shape", "n", "n_block", "n_allow"]
+        moved = moved.select(*columns, seg.alias("seg"), (F.col("d") + 1).alias("depth"), F.lit(True).alias("open"))
+        done = at.where("not open").select(*columns, "seg", F.lit(0).alias("depth"), "open").union(rows.where("not open"))
+        rows = moved.union(done)
     return rows.select("host", "shape", "n", "n_block", "n_allow", F.array_join("seg", "/").alias("template"))
 
 
-def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_depth: int = 6, critical: float = 16.0, min_labelled: int = 20, smoothing: float = 10.0, min_purity: float = 0.9) -> DataFrame:
+def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", critical: float = 16.0, min_labelled: int = 20, smoothing: float = 10.0, min_purity: float = 0.9) -> DataFrame:
     """One row for each row of urls: id, host, path, rule, verdict, template, purity.
 
     Rules decide first (the longest that fits) and label the urls that they decide; templates of the same host decide the rest.
@@ -100,7 +104,7 @@ def judge_urls(urls: DataFrame, rules: list[tuple[str, str]], id_col: str = "pag
     hit = lambda v: F.count(F.when(F.col("decided") == v, 1))
     counts = stored(parts.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), hit("block").alias("n_block"), hit("allow").alias("n_allow")), "url-shapes")
     prior = counts.agg(F.coalesce(F.try_divide(F.sum("n_block"), F.sum(F.col("n_block") + F.col("n_allow"))), F.lit(0.0))).first()[0]
-    tree = stored(template_tree(counts, max_depth, critical), "url-templates")
+    tree = stored(template_tree(counts, critical), "url-templates")
     pure = tree.groupBy("host", "template").agg(F.sum("n_block").alias("b"), F.sum(F.col("n_block") + F.col("n_allow")).alias("k")).select(
         "host", "template", ((F.col("b") + smoothing * prior) / (F.col("k") + smoothing)).alias("purity"), (F.col("k") >= min_labelled).alias("enough"))
     verdicts = tree.select("host", "shape", "template").join(pure, ["host", "template"])
