@@ -10,7 +10,8 @@ import hashlib
 import re
 import struct
 import zlib
-from functools import lru_cache
+from bisect import bisect_left, bisect_right
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,11 @@ def wav_samples(media: bytes, at: int = 0) -> tuple[int, int] | None:
     return found if k == end else None
 
 
-def valid_wav(b: bytes, at: int) -> int | None:
+def valid_wav(b: bytes, at: int, seen: Seen) -> int | None:
     return 8 + int.from_bytes(b[at + 4 : at + 8], "little") if wav_samples(b, at) else None
 
 
-def valid_png(b: bytes, at: int) -> int | None:
+def valid_png(b: bytes, at: int, seen: Seen) -> int | None:
     k, first = at + 8, True
     while k + 12 <= len(b):
         size, kind = int.from_bytes(b[k : k + 4], "big"), b[k + 4 : k + 8]
@@ -62,26 +63,35 @@ def valid_png(b: bytes, at: int) -> int | None:
     return None
 
 
-def valid_gif(b: bytes, at: int) -> int | None:
+def gif_blocks(b: bytes, k: int, ends: dict[int, int]) -> int:
+    """Behind the terminator of the chain of sub-blocks at k, or behind all bytes; ends remembers the chains of a text."""
+    at = []
+    while k < len(b) and b[k] and k not in ends:
+        at.append(k)
+        k += 1 + b[k]
+    end = ends.get(k, k + 1)
+    ends.update(dict.fromkeys(at, end))
+    return end
+
+
+def valid_gif(b: bytes, at: int, seen: Seen) -> int | None:
     if b[at + 4 : at + 6] not in (b"7a", b"9a") or at + 13 > len(b):
         return None
-    k = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0)
-    while k < len(b):
-        if b[k] == 0x3B:
-            return k + 1 - at
+    k, blocks = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 0x80 else 0), []
+    while k < len(b) and k not in seen.gif:
+        blocks.append(k)
         if b[k] == 0x2C and k + 10 <= len(b):
-            k += 11 + (3 << (b[k + 9] & 7) + 1 if b[k + 9] & 0x80 else 0)
+            k = gif_blocks(b, k + 11 + (3 << (b[k + 9] & 7) + 1 if b[k + 9] & 0x80 else 0), seen.chains)
         elif b[k] == 0x21:
-            k += 2
+            k = gif_blocks(b, k + 2, seen.chains)
         else:
-            return None
-        while k < len(b) and b[k]:
-            k += 1 + b[k]
-        k += 1
-    return None
+            seen.gif[k] = k + 1 if b[k] == 0x3B else None
+    end = seen.gif.get(k)
+    seen.gif.update(dict.fromkeys(blocks, end))
+    return None if end is None else end - at
 
 
-def valid_jpeg(b: bytes, at: int) -> int | None:
+def valid_jpeg(b: bytes, at: int, seen: Seen) -> int | None:
     k = at + 2
     while k + 4 <= len(b) and b[k] == 0xFF:
         kind, size = b[k + 1], int.from_bytes(b[k + 2 : k + 4], "big")
@@ -101,41 +111,82 @@ def valid_jpeg(b: bytes, at: int) -> int | None:
     return None
 
 
-def valid_pdf(b: bytes, at: int) -> int | None:
+def valid_pdf(b: bytes, at: int, seen: Seen) -> int | None:
     """To the last %%EOF of the file, each with a startxref before it; the next header behind an %%EOF begins another file."""
     if not re.match(rb"%PDF-[0-9]\.[0-9][\r\n]", b[at : at + 9]):
         return None
-    last, k = None, at
-    while (end := b.find(b"%%EOF", k)) >= 0 and (last is None or b.find(b"%PDF-", k, end) < 0):
-        if b.find(b"startxref", k, end) >= 0:
-            last = end + 5 - at
-        k = end + 5
-    return last
+    ends, (started, headed) = seen.places(b"%%EOF"), seen.segments
+    if (n := bisect_left(ends, at)) == len(ends):
+        return None
+    if not seen.between(b"startxref", at, ends[n]):
+        if (k := bisect_right(started, n)) == len(started):
+            return None
+        n = started[k]
+    k = bisect_right(headed, n)
+    k = bisect_left(started, headed[k] if k < len(headed) else len(ends))
+    return ends[max(n, started[k - 1] if k else n)] + 5 - at
 
 
-def valid_zip(b: bytes, at: int) -> int | None:
+def valid_zip(b: bytes, at: int, seen: Seen) -> int | None:
     if at + 30 > len(b) or int.from_bytes(b[at + 8 : at + 10], "little") not in (0, 8):
         return None
-    k = b.find(b"PK\5\6", at)
-    while 0 <= k <= len(b) - 22:  # a stored archive has an end record of its own
-        size, first = struct.unpack("<II", b[k + 12 : k + 20])
-        if at + first + size == k and b[at + first : at + first + 4] == b"PK\1\2":
-            return k + 22 + int.from_bytes(b[k + 20 : k + 22], "little") - at
-        k = b.find(b"PK\5\6", k + 1)
-    return None
+    return (end - at) if (end := seen.archives.get(at)) is not None else None
 
 
-def valid_ogg(b: bytes, at: int) -> int | None:
-    k = at
-    while b[k : k + 5] == b"OggS\0" and k + 27 <= len(b):
-        n = b[k + 26]
+def valid_ogg(b: bytes, at: int, seen: Seen) -> int | None:
+    k, pages = at, []
+    while k not in seen.ogg:
+        pages.append(k)
+        n = b[k + 26] if k + 27 <= len(b) else 0
         end = k + 27 + n + sum(b[k + 27 : k + 27 + n])
-        if end > len(b):
-            return None
-        last, k = b[k + 5] & 4, end
-        if last:
-            return k - at
-    return None
+        if b[k : k + 5] != b"OggS\0" or end > len(b):
+            seen.ogg[k] = None
+        elif b[k + 5] & 4:
+            seen.ogg[k] = end
+        else:
+            k = end
+    end = seen.ogg[k]
+    seen.ogg.update(dict.fromkeys(pages, end))
+    return None if end is None else end - at
+
+
+class Seen:
+    """What the validators of one text share, so that magic bytes that recur cost no more than one pass: where marks stand, which
+    archives end, and how walks that meet go on."""
+
+    def __init__(self, data: bytes):
+        self.data, self.marks = data, {}
+        self.chains, self.gif, self.ogg = {}, {}, {}
+
+    def places(self, mark: bytes) -> list[int]:
+        if mark not in self.marks:
+            self.marks[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self.marks[mark]
+
+    def between(self, mark: bytes, a: int, b: int) -> bool:
+        """Whether a mark lies wholly in data[a:b]."""
+        k = bisect_left(self.places(mark), a)
+        return k < len(self.places(mark)) and self.places(mark)[k] + len(mark) <= b
+
+    @cached_property
+    def segments(self) -> tuple[list[int], list[int]]:
+        """Of the parts between an %%EOF and the next (numbered by the latter), those with a startxref, and those with the head of a file."""
+        ends = self.places(b"%%EOF")
+        parts = [(n, ends[n - 1] + 5, ends[n]) for n in range(1, len(ends))]
+        return [n for n, a, b in parts if self.between(b"startxref", a, b)], [n for n, a, b in parts if self.between(b"%PDF-", a, b)]
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Start and end of each archive whose end record fits: the record says where its directory and so where it began. Of several with
+        one start the first counts."""
+        b, out = self.data, {}
+        for k in self.places(b"PK\5\6"):
+            if k <= len(b) - 22:
+                size, first = struct.unpack("<II", b[k + 12 : k + 20])
+                at = k - size - first
+                if at >= 0 and b[at + first : at + first + 4] == b"PK\1\2":
+                    out.setdefault(at, k + 22 + int.from_bytes(b[k + 20 : k + 22], "little"))
+        return out
 
 
 #: Magic bytes, media type and validator of each format.
@@ -158,14 +209,15 @@ def automaton():
 
 def sniff(media: bytes, declared: str | None) -> tuple[str, int, list[tuple[str, int, int]]]:
     """Corrected type, its valid length (0 if none is valid at offset 0), and (type, offset, length) of valid media inside,
-    outermost first, none within another. A declared type that no structure contradicts stays."""
-    found, kind, size, done = [], declared or "application/octet-stream", 0, 0
+    outermost first, none within another. A declared type that no structure contradicts stays; without one it is application/octet-stream.
+    Empty bytes hold nothing. Validators share what they find (Seen), so that marks which recur by the thousand do not each search to the end."""
+    found, kind, size, done, seen = [], declared or "application/octet-stream", 0, 0, Seen(media)
     for end, magic in automaton().iter(media.decode("latin-1")):
         at = end + 1 - len(magic)
         if at and at < done:
             continue
         name, check = FORMATS[magic]
-        if (length := check(media, at)) is not None:
+        if (length := check(media, at, seen)) is not None:
             if at == 0:
                 kind, size = name, length
             else:
