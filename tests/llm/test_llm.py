@@ -61,6 +61,14 @@ def test_token_counts_without_common_boundaries(model):
     assert counter.chunks > 1
 
 
+def test_token_counts_of_a_huge_text_take_linear_time(model):
+    counter = token_counts.OverlapCounter(model, chunk_chars=200, overlap_chars=40)
+    text = "The quick brown fox, number 17, jumps over the lazy dog. " * 12_000
+    began = time.time()
+    n = counter.count(text)
+    assert time.time() - began < 20 and counter.chunks > 3000 and n == len(counter.sp.encode(text))
+
+
 def test_token_counts_edges(spark, model):
     got = sorted(token_counts.count_tokens(docs(spark, [(1, None), (2, ""), (2, ""), (None, "a b")]), model).collect(), key=str)
     assert sorted((r.doc_id or 0, r.n_tokens, r.n_bytes) for r in got) == [(0, 2, 3), (1, 0, 0), (2, 0, 0), (2, 0, 0)]
@@ -73,7 +81,7 @@ def test_token_counts_edges(spark, model):
 def test_warc_round_trip(spark, tmp_path):
     data = [(1, "http://a/", "x"), (2, "http://b/ \r\n", "x"), (3, None, "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"), (4, "u", None), (5, "u", ""), (6, "u", "é" * 70000), (7, "u", "x"), (7, "u", "x"), (None, "u", "z")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
-    got = warc.archive_round_trip(pages, f"file://{tmp_path}/w").collect()
+    got = warc.archive_round_trip(pages, f"file://{tmp_path}/w", keep_raw=True).collect()
     assert len(got) == len(data)
     for r in got:
         payload = next((h or "").encode() for p, _, h in data if p == r.page_id)
@@ -87,6 +95,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(pages.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_query_on_all_pages(spark):
+    data = [(r["page_id"], (r["html"] or "").encode()) for r in rows(spark, "pages")]
+    best = {}
+    for i, p in data:
+        best[p] = max(i, best.get(p, i))
+    want = {i: (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), *(("response", None) if best[p] == i else ("revisit", best[p]))) for i, p in data}
+    got = queries.op2_warc(spark, SF).collect()
+    assert len(got) == len(data) and {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want
+
+
+def test_warc_manifest_names_what_counts(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", str(k)) for k in range(20)], "page_id long, url string, html string")
+    got = warc.archive_round_trip(pages, f"file://{tmp_path}/w")
+    (tmp_path / "w/normal/left-over.warc.gz").write_bytes(b"cut off")
+    assert got.count() == 20 and not (tmp_path / "w/raw").exists()
+    manifest = spark.read.parquet(f"file://{tmp_path}/w/manifest").collect()
+    assert sum(r.n_records for r in manifest) == 20 and not any("left-over" in r.warc for r in manifest)
+
+
 def test_warc_minimum_size(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in warc.archive_round_trip(pages, f"file://{tmp_path}/w", min_bytes=3).collect()}
@@ -148,6 +175,57 @@ def test_template_tree_merges_similar_branches_only(spark):
     assert tree["/a/bad"] == "/a/bad" and tree["/b"] == "/b" and {tree[f"/a/{w}"] for w in "qwertyuiop"} != {"/a/bad"}
 
 
+def brute_tree(counts, critical=16.0):
+    """Level by level, to the deepest segment: shape to template."""
+    live = [(shape.split("/"), shape, n, b, a) for _, shape, n, b, a in counts]
+    for d in range(1, max(len(x[0]) for x in live)):
+        groups = {}
+        for x in live:
+            if len(x[0]) > d:
+                kinds = groups.setdefault(tuple(x[0][:d]), {}).setdefault(x[0][d], [0] * 6)
+                for k, v in enumerate((x[3], x[4], x[2] - x[3] - x[4])):
+                    kinds[k + (0 if len(x[0]) <= d + 1 else 3)] += v
+        merge = set()
+        for prefix, branches in groups.items():
+            pool = [sum(c) for c in zip(*branches.values())]
+            for name, own in branches.items():
+                g = 0.0
+                for mine, all_ in zip(own, pool):
+                    for seen, share in ((mine, sum(own)), (all_ - mine, sum(pool) - sum(own))):
+                        if seen > 0 and all_ > 0:
+                            g += 2 * seen * np.log(seen * sum(pool) / (share * all_))
+                if len(branches) > 1 and g < critical:
+                    merge.add((prefix, name))
+        live = [([*x[0][:d], "*", *x[0][d + 1 :]] if len(x[0]) > d and (tuple(x[0][:d]), x[0][d]) in merge else x[0], *x[1:]) for x in live]
+    return {x[1]: "/".join(x[0]) for x in live}
+
+
+def test_template_tree_equals_brute_force(spark):
+    r = random.Random(8)
+    counts = {}
+    for _ in range(400):
+        shape = "".join(f"/{r.choice('abcdefg')}" for _ in range(r.choice((1, 2, 2, 3, 4, 9, 12))))
+        n = r.choice((1, 2, 5, 60))
+        block = n if shape.startswith("/a") and r.random() < 0.9 else 0
+        counts[shape] = ("h", shape, n, block, r.randint(0, n - block) if shape.startswith("/b") else 0)
+    counts |= {x: ("h", x, 1, 0, 0) for x in ("", "/", "/a/", "/" + "k/" * 60 + "x", "/" + "k/" * 60 + "y")}
+    rows_ = spark.createDataFrame(list(counts.values()), "host string, shape string, n long, n_block long, n_allow long")
+    got = {x.shape: x.template for x in url_filters.template_tree(rows_).collect()}
+    want = brute_tree(list(counts.values()))
+    assert got == want and any("*" in t for t in want.values()) and any("*" not in t for t in want.values())
+
+
+def test_templates_of_blocked_urls_are_rejected(spark):
+    """The rule names addresses that begin with 1; those beside them share its template and go with it, others stay."""
+    urls = [(k, f"http://h.com/{k}") for k in range(1, 400)] + [(1000 + k, f"http://h.com/fr/{k}/x") for k in range(60)] + [(2000 + k, f"http://i.org/{k}") for k in range(60)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r.page_id: r for r in url_filters.judge_urls(pages, [("block", "com/1")]).collect()}
+    assert all(got[k].verdict == "block" and got[k].template == "/{n}" for k in range(1, 400)) and got[2].rule is None and got[1].rule == "com/1"
+    assert all(got[k].verdict == "allow" for k in got if k >= 1000)
+    mixed = {r.page_id: r for r in url_filters.judge_urls(pages, [("block", "com/1"), ("allow", "com/2")]).collect()}
+    assert mixed[5].verdict == "allow" and mixed[11].verdict == "block" and 0.3 < mixed[5].purity < 0.7
+
+
 # 4 n-gram Jaccard join
 
 
@@ -249,6 +327,13 @@ def test_chat_edges(spark):
     assert chat.digest_conversations(parts).first().loss_sha256 == hashlib.sha256(b"w" * 30_000_000).hexdigest()
 
 
+def test_chat_parts_out_of_order_are_refused(spark):
+    long = spark.createDataFrame([(7, k, "assistant", "w" * 5000) for k in range(6000)], "conv_id long, turn long, role string, text string")
+    parts = chat.format_conversations(long).coalesce(1)
+    with pytest.raises(Exception, match="does not follow the one before"):
+        chat.digest_conversations(parts.orderBy("part", ascending=False)).collect()
+
+
 # 6 decontamination
 
 
@@ -498,6 +583,19 @@ def test_lattice_equals_the_library_on_the_same_pieces(model):
         assert brute_viterbi(p, text) == [sp.piece_to_id(x) for x in sp.nbest_encode_as_pieces(text, 2)[0]]  # its exact lattice
 
 
+def test_sentencepiece_query_on_documents(spark, model):
+    p = lattice.pieces_of(model)
+    texts = {r["doc_id"]: r["text"] or "" for r in rows(spark, "documents")}
+    got = queries.op9_sentencepiece(spark, SF).collect()
+    assert len(got) == len(texts) and all(r.round_trip for r in got)
+    for r in got:
+        text = texts[r.doc_id]
+        assert (r.n_chars, r.decoded_sha256) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+        if len(text) < 6000:
+            ids = brute_viterbi(p, text)
+            assert (r.n_pieces, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
 # 10 media
 
 
@@ -551,6 +649,34 @@ def test_sniffing_takes_whole_updated_pdfs_and_nested_archives():
     assert [x[1:] for x in media.sniff(b"junk " + pdf + b"\n" + pdf, "text/plain")[2]] == [(5, len(pdf)), (6 + len(pdf), len(pdf))]
 
 
+def test_recurring_magic_bytes_take_linear_time():
+    mega = 1 << 20
+    hostile = [b"PK\3\4" + bytes(26), b"%PDF-1.4\n", b"%PDF-1.4\n%%EOF", b"%PDF-1.4\nstartxref%%EOF\n", b"GIF89a" + bytes([1, 0, 1, 0, 0, 0, 0]) + b"!x\1a", b"GIF89a.......,.........", b"OggS\0" + bytes(21) + b"\1\0", b"PK\5\6" + bytes(18), b"RIFF    WAVE", b"\xff\xd8\xff\xda\0\2"]
+    for unit in hostile:
+        data = b"x" + unit * (2 * mega // len(unit))
+        began = time.time()
+        media.sniff(data, None)
+        assert time.time() - began < 5, unit
+
+
+def test_pdf_ends_equal_a_plain_walk():
+    r = random.Random(2)
+
+    def plain(b, at):
+        last, k = None, at
+        while (end := b.find(b"%%EOF", k)) >= 0 and (last is None or b.find(b"%PDF-", k, end) < 0):
+            if b.find(b"startxref", k, end) >= 0:
+                last = end + 5 - at
+            k = end + 5
+        return last
+
+    for _ in range(400):
+        data = b"".join(r.choice([b"%PDF-1.4\n", b"%%EOF", b"startxref", b"xy", b"%%EO"]) for _ in range(r.randint(1, 25)))
+        seen_ = media.Seen(data)
+        for m in re.finditer(rb"%PDF-1.4\n", data):
+            assert media.valid_pdf(data, m.start(), seen_) == plain(data, m.start())
+
+
 def test_media_edges(spark):
     got = {r.doc_id: r for r in media.read_media(media.store_texts(docs(spark, [(1, None), (2, ""), (3, "x" * 576), (3, "x" * 576), (4, media.wav(b"q" * 9).decode("latin-1"))]))).collect()}
     assert got[1].payload_sha256 == got[2].payload_sha256 == hashlib.sha256(b"\xff" * 576).hexdigest() and got[3].payload_bytes == 576
@@ -658,3 +784,18 @@ def test_lattice_of_a_very_long_unit(spark, model):
     for r in got:
         assert r.back == r.text
         assert r.piece_ids == brute_viterbi(p, r.text)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+    rel = con.sql(queries.oracle_sql()[name])
+    assert sorted(rel.columns) == columns
+    assert got == sorted((tuple(r) for r in rel.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall()), key=str) and got

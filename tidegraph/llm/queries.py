@@ -79,6 +79,48 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), q AS (SELECT *, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM q"""
+
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_aggregate(w[k : k + 4], 'string_agg', ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 3))) AS k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 75 * (x.n + y.n - both)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a) USING (doc_id)"""
+
+CHAT_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(i, r)),
+e AS (SELECT *, length(regexp_replace(text, '{chat.ESCAPE}', '\1\1\\\2', 'g')) AS held, CASE {" ".join(f"WHEN role = '{r}' THEN {len(a + b)}" for r, (a, b) in chat.TURNS.items())}
+  ELSE {len("".join(chat.OTHER))} + length(regexp_replace(role, '{chat.ESCAPE}', '\1\1\\\2', 'g')) END AS marks FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(held + marks) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(10, len(w)) AS n, list_aggregate(w[k : k + 9], 'string_agg', ' ') AS words FROM i, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 8))) AS k) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, k, n, list_aggregate(w[k : k + n - 1], 'string_agg', ' ') AS words FROM d, sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS k)),
+met AS (SELECT DISTINCT doc_id, k, n, item FROM places JOIN windows USING (n, words)),
+hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS at FROM (SELECT DISTINCT doc_id, k, n FROM met)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """No base32, tokenizer, WARC, CRF, lattice or container is in SQL; op6 has its words in SQL but not the windows at whole-table speed."""
-    return {}
+    """What SQL can say. No tokenizer, template tree, random field, transducer, Viterbi fold or media validator is in it: the tests compare
+    those queries with the library, brute force or held-out labels."""
+    return {"op2_warc": WARC_SQL, "op4_jaccard_join": JACCARD_SQL, "op5_chat_formatting": CHAT_SQL, "op6_decontamination": DECONTAMINATION_SQL}
