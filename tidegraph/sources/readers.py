@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.functions.markup import matches_of
 from tidegraph.functions.text import trimmed
 from tidegraph.schemas import RAW_PAGE
 
@@ -52,14 +55,27 @@ def first_seen(items: DataFrame, item: str, pos: str) -> DataFrame:
     return items.groupBy(item).agg(F.min(pos).alias(pos))
 
 
+ANCHOR = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
+
+
 def anchors(html: Column, prefix: str = "") -> Column:
     """Array of (href, text) of anchors whose href begins with prefix and whose text is not empty; the text has no tags and is trimmed."""
-    hrefs = F.regexp_extract_all(html, F.lit(r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'), 1)
-    texts = F.regexp_extract_all(html, F.lit(r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'), 2)
-    pairs = F.transform(F.arrays_zip(hrefs.alias("href"), texts.alias("text")), lambda x: F.struct(x["href"].alias("href"), trimmed(F.regexp_replace(x["text"], "(?s)<[^>]*>", "")).alias("text")))
+    found = matches_of(html, ANCHOR, "href", "text")
+    pairs = F.transform(found, lambda x: F.struct(x["href"].alias("href"), trimmed(F.regexp_replace(x["text"], "(?s)<[^>]*>", "")).alias("text")))
     return F.filter(pairs, lambda x: x["href"].startswith(prefix) & (x["text"] != ""))
 
 
 def read_ranked_json(spark: SparkSession, path: str) -> DataFrame:
     """title, rank of a saved JSON array of {Title, Rank} objects."""
     return spark.read.schema("Title STRING, Rank DOUBLE").option("multiLine", True).json(path).select(F.col("Title").alias("title"), F.col("Rank").alias("rank"))
+
+
+def read_categories(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """category, title of the lists at several paths, by the name of each."""
+    lists = [read_titles(spark, path, trim=True).select(F.lit(name).alias("category"), "title") for name, path in paths.items()]
+    return reduce(DataFrame.unionByName, lists) if lists else spark.createDataFrame([], "category string, title string")
+
+
+def row_count(table: DataFrame) -> int:
+    """The number of rows; Parquet footers alone answer it."""
+    return table.count()
