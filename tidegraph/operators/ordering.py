@@ -1,5 +1,6 @@
 """Order, slices, shares and top-k over ranked rows. A total order over all rows needs positions: rows are range-partitioned and sorted,
-partitions are counted, and the position is the row's place plus the counts before its partition, so that no task holds all rows."""
+numbered as they are written, and the position is the row's number plus the counts of the partitions before, so that rows move once and no
+task holds all of them."""
 
 from __future__ import annotations
 
@@ -10,13 +11,20 @@ from tidegraph.operators.storage import stored
 
 
 def with_position(df: DataFrame, keys: list[Column], name: str = "position") -> DataFrame:
-    """df with its 1-based position in the order of keys, which must be total."""
-    part, place = "__part", "__place"
-    ordered = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(part, F.spark_partition_id()), "ordered")
-    placed = ordered.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(*keys)))
-    counts = ordered.groupBy(part).count()  # a row a partition
-    before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return placed.join(F.broadcast(before), part).withColumn(name, (F.col(place) + F.col("before")).cast("int")).drop(part, place, "before")
+    """df with its 1-based position (long) in the order of keys, which must be total."""
+    at, part, place = "__at", "__part", "__place"
+    # the id's upper bits are the partition's number, the lower 33 bits the row's in it
+    rows = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), "ordered")
+    parts = rows.groupBy(F.shiftright(at, 33).alias(part)).count()  # a row a partition
+    before = parts.select(part, F.coalesce(F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(place))
+    numbered = rows.withColumn(part, F.shiftright(at, 33)).join(F.broadcast(before), part)
+    return numbered.withColumn(name, F.col(place) + F.col(at).bitwiseAND((1 << 33) - 1) + 1).drop(at, part, place)
+
+
+def leading(df: DataFrame, end: int, keys: list[Column], name: str = "position", start: int = 0) -> DataFrame:
+    """The rows that with_position numbers start + 1 to end, by a top-k of end rows: for slices near the first row."""
+    first = df.orderBy(*keys).limit(end)
+    return first.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long")).where(F.col(name) > start)
 
 
 def ordered(ranked: DataFrame, rank: str = "rank", id_col: str = "id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidegraph.operators.storage import stored
@@ -14,21 +14,31 @@ def pagerank(vertices: DataFrame, edges: DataFrame, beta: float = BETA, epsilon:
     """id, rank. vertices: distinct id; edges: src, dst between vertices, each row counting once.
 
     r' = sum over in-edges of beta * r / out-degree, plus (1 - sum) / n; ends after the first step whose L1 change is epsilon at most.
-    The sum follows from the rank of vertices with out-edges in the step before, so that a step is one job: edges, pre-aggregated per
-    task, meet ranks by source, and the change and the next sum come from the table that the step writes.
+    The sum follows from the rank of vertices with out-edges in the step before, so that a step is one job: ranks, dealt by vertex, meet edges
+    that stay where they were dealt by source, contributions are pre-aggregated per task, and the write of the step's table observes
+    the change and the next sum. The table of the step before is then deleted. A lost executor costs its edges (from their table) and a step.
     """
     n = vertices.count()
     if not n:
         return vertices.select("id", F.lit(0.0).alias("rank"))
+    edges = stored(edges.select("src", "dst"), "edges")
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    weighted = stored(edges.join(degree, "src").select("src", "dst", (F.lit(beta) / F.col("degree")).alias("weight")), "weighted-edges")
-    state = stored(vertices.join(degree.select(F.col("src").alias("id"), F.lit(True).alias("out")), "id", "left").select("id", F.lit(1.0 / n).alias("rank"), F.lit(1.0 / n).alias("before"), F.coalesce("out", F.lit(False)).alias("out")), "ranks")
-    kept = state.where("out").count() / n
-    for _ in range(max_iter):
-        raw = weighted.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("rank")).alias("raw"))
-        rank = F.coalesce("raw", F.lit(0.0)) + F.lit((1 - beta * kept) / n)
-        state = stored(state.select("id", F.col("rank").alias("before"), "out").join(raw, "id", "left").select("id", rank.alias("rank"), "before", "out"), "ranks")
-        delta, kept = state.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), F.coalesce(F.sum(F.when(F.col("out"), F.col("rank"))), F.lit(0.0))).first()
-        if delta <= epsilon:
-            return state.select("id", "rank")
+    lanes = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = edges.join(degree, "src").select("src", "dst", (F.lit(beta) / F.col("degree")).alias("weight")).repartition(lanes, "src").persist()
+    try:
+        start = vertices.join(degree.select(F.col("src").alias("id"), F.lit(True).alias("out")), "id", "left")
+        state = stored(start.select("id", F.lit(1.0 / n).alias("rank"), F.coalesce("out", F.lit(False)).alias("out")), "ranks")
+        kept = state.where("out").count() / n
+        for _ in range(max_iter):
+            raw = dealt.join(state.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("rank")).alias("raw"))
+            new = F.coalesce("raw", F.lit(0.0)) + F.lit((1 - beta * kept) / n)
+            seen = Observation()
+            step = state.withColumnRenamed("rank", "before").join(raw, "id", "left").select("id", new.alias("rank"), "out", F.abs(new - F.col("before")).alias("moved"))
+            step = step.observe(seen, F.sum("moved").alias("delta"), F.coalesce(F.sum(F.when(F.col("out"), F.col("rank"))), F.lit(0.0)).alias("kept"))
+            state = stored(step.drop("moved"), "ranks", instead_of=state)
+            kept = seen.get["kept"]
+            if seen.get["delta"] <= epsilon:
+                return state.select("id", "rank")
+    finally:
+        dealt.unpersist()
     raise RuntimeError(f"no convergence within {max_iter} steps")

@@ -14,20 +14,28 @@ def is_redirect():
 
 
 def redirect_map(pages: DataFrame, transitive: bool = False, strip_section: bool = False, max_rounds: int = 64) -> DataFrame:
-    """title, target of each redirect. By default one hop, targets as written; transitive follows chains to their end by pointer jumping
-    (a round halves what is left; titles of a cycle are dropped). Of redirects with equal titles the one with the largest id counts."""
+    """title, target of each redirect. By default one hop, targets as written; transitive follows chains to their end by pointer jumping.
+    Titles of a cycle, or that lead to one, are dropped. Of redirects with equal titles the one with the largest id counts.
+
+    A round doubles what each pointer has jumped, so it ends a chain as long as any is left: once a round ends none, only cycles are."""
     target = without_section(F.col("redirect_to")) if strip_section else F.col("redirect_to")
     hops = pages.where(is_redirect()).groupBy("title").agg(F.max_by(target, "id").alias("target"))
     if not transitive:
         return hops
-    state = stored(hops, "redirects")
+    state, before, last = stored(hops, "redirects"), None, None
     for _ in range(max_rounds):
         after = state.select(F.col("title").alias("target"), F.col("target").alias("next"))
-        jumped = state.join(after, "target", "left")
-        if jumped.where(F.col("next").isNotNull() & (F.col("next") != F.col("target")) & (F.col("next") != F.col("title"))).isEmpty():
-            break
-        state = stored(jumped.select("title", F.coalesce("next", "target").alias("target")), "redirects")
-    return state.join(state.select(F.col("title").alias("target")), "target", "left_anti").select("title", "target")
+        last = stored(state.join(after, "target", "left").select("title", "target", "next"), "redirects", instead_of=last)
+        left = last.where("next is not null").count()
+        if left in (0, before):
+            return last.where("next is null").select("title", "target")
+        state, before = last.select("title", F.coalesce("next", "target").alias("target")), left
+    raise RuntimeError(f"redirects do not settle within {max_rounds} rounds")
+
+
+def repeated_ids(pages: DataFrame) -> DataFrame:
+    """id, n of the ids that several pages have; a graph needs none."""
+    return pages.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def title_ids(pages: DataFrame) -> DataFrame:
@@ -51,14 +59,25 @@ def counted_edges(resolved: DataFrame) -> DataFrame:
     return resolved.where("src <> dst").groupBy("src", "dst").agg(F.sum("count").alias("count"))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """src, title, count of the articles' own links (redirects' links are not followed)."""
+def page_links(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """src, title, count of the articles' own links; with redirects (title, target) also the links that redirect pages have, as links of the
+    article that they lead to."""
+    if redirects is not None:
+        every = pages.select("title", "id", is_redirect().alias("redirect"), F.explode("text_links").alias("l"))
+        ids = title_ids(pages)
+        led = every.where("redirect").join(redirects, "title").select(F.col("target").alias("title"), "l").join(ids, "title").select("id", "l")
+        links = every.where(~F.col("redirect")).select("id", "l").union(led)
+        return links.select(F.col("id").alias("src"), F.col("l.article_title").alias("title"), F.col("l.count").alias("count"))
     return pages.where(~is_redirect()).select(F.col("id").alias("src"), F.explode("text_links").alias("l")).select("src", F.col("l.article_title").alias("title"), F.col("l.count").alias("count"))
 
 
-def build_graph(pages: DataFrame, transitive: bool = False, strip_section: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Vertices (id) and distinct edges (src, dst) of parsed pages."""
-    resolved = resolve_links(page_links(pages), redirect_map(pages, transitive, strip_section), title_ids(pages))
+def build_graph(pages: DataFrame, transitive: bool = False, strip_section: bool = False, redirect_links: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Vertices (id) and distinct edges (src, dst) of parsed pages, whose article ids must differ; with redirect_links the links of
+    redirect pages count as links of their targets."""
+    if twice := [r.id for r in repeated_ids(pages.where(~is_redirect())).limit(5).collect()]:
+        raise ValueError(f"several articles have the id {', '.join(map(str, twice))}")
+    redirects = redirect_map(pages, transitive, strip_section)
+    resolved = resolve_links(page_links(pages, redirects if redirect_links else None), redirects, title_ids(pages))
     return pages.where(~is_redirect()).select("id"), edges_of(resolved)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.functions.text import normalised_title, significant
+from tidegraph.functions.text import normalised_title, plain_number, significant, trimmed
 
 
 def title_index(pages: DataFrame, include_aliases: bool = True) -> DataFrame:
@@ -40,16 +40,57 @@ def suggest_many(index: DataFrame, prefixes: DataFrame, n: int = 10) -> DataFram
 
 
 def compare(a: Column, b: Column) -> tuple[Column, Column]:
-    """Ratio of the greater to the smaller rank, and its words: "about as" up to 1.05, else the ratio at 2 significant digits below 10,
-    at 1 from there."""
-    ratio = F.greatest(a, b) / F.least(a, b)
-    return ratio, F.when(ratio <= 1.05, F.lit("about as")).otherwise(F.when(ratio < 10, significant(ratio, 2)).otherwise(significant(ratio, 1)).cast("string"))
+    """Ratio of the greater to the smaller rank (infinite if that alone is 0, 1 if both are), and its words: "about as" up to 1.05, else
+    "n x more" without the space, n at 2 significant digits below 10, at 1 from there."""
+    least, most = F.least(a, b), F.greatest(a, b)
+    ratio = F.when(least != 0, F.try_divide(most, least)).when(most == 0, 1.0).when(least == 0, F.lit(float("inf")))
+    number = F.when(ratio == float("inf"), "Infinity").when(ratio < 10, plain_number(significant(ratio, 2))).otherwise(plain_number(significant(ratio, 1)))
+    return ratio, F.when(ratio <= 1.05, "about as").otherwise(F.concat(number, F.lit("x more")))
+
+
+def said_of(name_a: Column, rank_a: Column, name_b: Column, rank_b: Column) -> Column:
+    """The comparison as a sentence; it begins with the name of greater rank, or with a where they are equal."""
+    words = compare(rank_a, rank_b)[1]
+    first, second = F.when(rank_a >= rank_b, name_a).otherwise(name_b), F.when(rank_a >= rank_b, name_b).otherwise(name_a)
+    return F.concat_ws(" ", first, F.lit("is"), words, F.when(words == "about as", "influential as").otherwise("influential than"), second)
 
 
 def compare_titles(index: DataFrame, titles: list[str]) -> DataFrame:
-    """key_a, key_b, ratio, said of exactly two titles."""
+    """key_a, key_b, ratio, said, sentence of exactly two titles; no row if one of them is not in the index."""
     if len(titles) != 2:
         raise ValueError("exactly two titles can be compared")
     a, b = (lookup(index, t).select(F.col("key").alias(f"key_{c}"), F.col("rank").alias(f"rank_{c}")) for t, c in zip(titles, "ab", strict=True))
     ratio, said = compare(F.col("rank_a"), F.col("rank_b"))
-    return a.crossJoin(b).select("key_a", "key_b", ratio.alias("ratio"), said.alias("said"))
+    sentence = said_of(F.col("key_a"), F.col("rank_a"), F.col("key_b"), F.col("rank_b"))
+    return a.crossJoin(b).select("key_a", "key_b", ratio.alias("ratio"), said.alias("said"), sentence.alias("sentence"))
+
+
+def pages_by_title(index: DataFrame, pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """Rows of pages that titles.title name (a title or an alias, in either case, trimmed); each page once."""
+    asked = titles.select(F.upper(trimmed(F.col("title"))).alias("key")).distinct()
+    return pages.join(index.join(asked, "key", "left_semi").select("id").distinct(), "id", "left_semi")
+
+
+def page_by_order(ranked: DataFrame, order: int, column: str = "order") -> DataFrame:
+    """The row at a 1-based place; none outside."""
+    return ranked.where(F.col(column) == order)
+
+
+def suggest_pages(index: DataFrame, pages: DataFrame, prefix: str, n: int = 10) -> DataFrame:
+    """Rows of pages behind suggest's keys, with key, by falling rank of the keys."""
+    return suggest(index, prefix, n).select("key", "id", F.col("rank").alias("__rank")).join(pages, "id").orderBy(F.desc("__rank"), "key").drop("__rank")
+
+
+def category_pages(index: DataFrame, pages: DataFrame, lists: DataFrame) -> DataFrame:
+    """category, and the columns of pages: the pages that the titles of each category (lists: category, title) name, each once a category;
+    titles that name none are left out."""
+    asked = lists.select("category", F.upper(trimmed(F.col("title"))).alias("key")).distinct()
+    return pages.join(asked.join(index.select("key", "id"), "key").select("category", "id").distinct(), "id")
+
+
+def category_tables(index: DataFrame, pages: DataFrame, lists: DataFrame, n: int = 1000) -> DataFrame:
+    """The n pages of greatest rank of each category, with position and percent_of_first (0 for the first)."""
+    by_rank = Window.partitionBy("category").orderBy(F.desc("rank"), "id")
+    kept = category_pages(index, pages, lists).withColumn("position", F.row_number().over(by_rank)).where(F.col("position") <= n)
+    first = F.first("rank").over(by_rank)
+    return kept.withColumn("percent_of_first", F.when(F.col("position") == 1, 0.0).otherwise(F.try_divide(100 * F.col("rank"), first)))
