@@ -21,8 +21,8 @@ def duck():
 def test_query_equals_its_sql(spark, duck, name):
     df = catalogue.queries()[name](spark, SF)
     columns = sorted(df.columns)
-    got = sorted(tuple(r[c] for c in columns) for r in df.collect())
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
     rel = duck.sql(catalogue.oracle_sql()[name])
     assert sorted(rel.columns) == columns
-    want = sorted(tuple(r) for r in rel.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
+    want = sorted((tuple(r) for r in rel.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall()), key=repr)
     assert got == want and (got or name == "category_anti")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions import coords, markup, text
 from tidegraph.operators import category, charts, ordering, resolve, search
 from tidegraph.operators.pagerank import pagerank
+from tidegraph.operators.storage import stored
 from tidegraph.sources import readers
 
 QUERIES: dict = {}
@@ -67,7 +68,7 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = trade_edges(spark, sf_dir)
+    edges = stored(trade_edges(spark, sf_dir), "edges")
     vertices = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     return pagerank(vertices, edges), edges
 
@@ -77,10 +78,10 @@ def pagerank_edges(spark, sf_dir):
     return trade_ranks(spark, sf_dir)[0].select("id", F.round("rank", 8).alias("rank"))
 
 
-@query(RANK_SQL + ' SELECT id, round(round(rank, 10), 8) AS rank, CAST(row_number() OVER (ORDER BY round(rank, 10) DESC, id) AS INT) AS "order" FROM ranks QUALIFY "order" <= 100')
+@query(RANK_SQL + ' SELECT id, round(round(rank, 10), 8) AS rank, row_number() OVER (ORDER BY round(rank, 10) DESC, id) AS "order" FROM ranks QUALIFY "order" <= 100')
 def pagerank_topk_order(spark, sf_dir):
-    ranked = ordering.ordered(trade_ranks(spark, sf_dir)[0].withColumn("rank", F.round("rank", 10)))
-    return ordering.order_range(ranked, 0, 100).select("id", F.round("rank", 8).alias("rank"), "order")
+    ranked = trade_ranks(spark, sf_dir)[0].withColumn("rank", F.round("rank", 10))
+    return ordering.leading(ranked, 100, [F.desc("rank"), F.asc("id")], "order").select("id", F.round("rank", 8).alias("rank"), "order")
 
 
 @query("SELECT DISTINCT l_partkey % 100 AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey % 100 <> l_suppkey")
@@ -98,17 +99,15 @@ def outdegree(spark, sf_dir):
     return trade_edges(spark, sf_dir).groupBy("src").agg(F.count(F.lit(1)).alias("outdegree"))
 
 
-@query(r"""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href,
-  unnest(regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>', 2)) AS body FROM pages)
+@query(rf"""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '{readers.ANCHOR}', 1)) AS href, unnest(regexp_extract_all(html, '{readers.ANCHOR}', 2)) AS body FROM pages)
   WHERE starts_with(href, '/') AND trim(regexp_replace(body, '(?s)<[^>]*>', '', 'g')) <> '' GROUP BY ALL""")
 def html_links(spark, sf_dir):
     links = t(spark, sf_dir, "pages").select("page_id", F.explode(readers.anchors(F.col("html"), "/")).alias("a"))
     return links.groupBy("page_id", F.col("a.href").alias("href")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT page_id, title FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'File:' WHEN 1 THEN 'MediaWiki:' WHEN 2 THEN 'Lists of ' WHEN 3 THEN '' ELSE 'User Talk:' END || url AS title FROM pages)
-  WHERE NOT regexp_matches(title, '^(File|Talk|Special|Wikipedia|Wiktionary|User|User Talk|Category|Portal|Template|Mediawiki|Help):')
-  AND NOT regexp_matches(title, '^Lists? of|^Template( talk)?:|^Category:|[0-9]{4}s? in film|[0-9]{4} film$')""")
+@query(f"""SELECT page_id, title FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'File:' WHEN 1 THEN 'MediaWiki:' WHEN 2 THEN 'Lists of ' WHEN 3 THEN '' ELSE 'User Talk:' END || url AS title FROM pages)
+  WHERE NOT regexp_matches(title, '^({"|".join(readers.NAMESPACES)}):') AND NOT regexp_matches(title, '{readers.NOT_FILMS}')""")
 def html_title_filter(spark, sf_dir):
     k = F.col("page_id") % 5
     kind = F.when(k == 0, "File:").when(k == 1, "MediaWiki:").when(k == 2, "Lists of ").when(k == 3, "").otherwise("User Talk:")
@@ -120,7 +119,7 @@ MARKUP_SQL = "'[[' || p_brand || '#s|' || p_name || ']] [[' || p_type || ']] [[|
 
 
 @query(rf"""SELECT p_partkey, title, count(*) AS count FROM (SELECT p_partkey, CASE WHEN g1 IS NULL OR g1 = '' THEN g2 ELSE regexp_extract(g1, '^[^#]*') END AS title FROM (
-  SELECT p_partkey, unnest(regexp_extract_all(m, '\[\[(?:([^|\]]*)\|)?([^\]]+)\]\]', 1)) AS g1, unnest(regexp_extract_all(m, '\[\[(?:([^|\]]*)\|)?([^\]]+)\]\]', 2)) AS g2
+  SELECT p_partkey, unnest(regexp_extract_all(m, '{markup.LINK}', 1)) AS g1, unnest(regexp_extract_all(m, '{markup.LINK}', 2)) AS g2
   FROM (SELECT p_partkey, regexp_replace({MARKUP_SQL}, '<!--(.*?)-->', '', 'g') AS m FROM part))) GROUP BY ALL""")
 def wikilink_extract(spark, sf_dir):
     page = F.format_string("[[%s#s|%s]] [[%s]] [[|%s]] [[%s|x]]<!-- [[lost]] -->", "p_brand", "p_name", "p_type", "p_brand", "p_brand")
@@ -159,7 +158,26 @@ def redirect_single_hop(spark, sf_dir):
 def redirect_transitive(spark, sf_dir):
     key = F.col("p_partkey")
     pages = t(spark, sf_dir, "part").select(key.cast("string").alias("title"), key.alias("id"), F.when(key >= 10, F.concat(F.floor(key / 10).cast("string"), F.lit("#part"))).alias("redirect_to"))
-    return resolve.redirect_map(pages, transitive=True, strip_section=True)
+    # a cycle of five and redirects that lead to it, which have no end
+    cycle = t(spark, sf_dir, "region").select(F.concat(F.lit("x"), "r_regionkey"), F.lit(0).cast("long"), F.concat(F.lit("x"), (F.col("r_regionkey") + 1) % 5))
+    lost = t(spark, sf_dir, "nation").select(F.concat(F.lit("y"), "n_nationkey"), F.lit(0).cast("long"), F.concat(F.lit("x"), F.col("n_regionkey")))
+    return resolve.redirect_map(pages.union(cycle).union(lost), transitive=True, strip_section=True)
+
+
+@query("SELECT DISTINCT CAST(n_regionkey AS BIGINT) + 1000 AS src, CAST((n_regionkey + 1) % 5 AS BIGINT) + 1000 AS dst FROM nation")
+def redirect_own_links(spark, sf_dir):
+    """Links of redirect pages, each to itself and to the region behind its own, as links of the articles that they lead to."""
+    after = t(spark, sf_dir, "region").select(((F.col("r_regionkey") + 4) % 5).alias("n_regionkey"), F.col("r_name").alias("next"))
+    own = t(spark, sf_dir, "nation").join(after, "n_regionkey").select(F.concat(F.lit("N"), "n_name").alias("title"), "next")
+    link = lambda c: F.struct(F.col(c).alias("article_title"), F.lit(1).alias("count"))
+    pages = nation_pages(spark, sf_dir).join(own, "title", "left")
+    pages = pages.withColumn("text_links", F.when(F.col("next").isNotNull(), F.array(link("title"), link("next"))).otherwise(F.array().cast("array<struct<article_title:string,count:int>>")))
+    return resolve.build_graph(pages, redirect_links=True)[1]
+
+
+@query("SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    return resolve.repeated_ids(t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id")))
 
 
 @query("SELECT r_name AS title, string_agg('N' || n_name, '|' ORDER BY n_name) AS aliases FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
@@ -192,12 +210,21 @@ def coord_template(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey", c.alias("c")).select("c_custkey", F.round("c.lat", 6).alias("lat"), F.round("c.long", 6).alias("long"))
 
 
-@query("SELECT p_partkey, 'film' AS kind, p_name AS name, p_brand AS brand, '[[' || p_type || '|x]]' AS type FROM part")
+@query("""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN -(s_suppkey % 90 + 0.5) WHEN 1 THEN CAST(s_suppkey % 80 AS DOUBLE) END AS lat,
+  CASE s_suppkey % 3 WHEN 0 THEN -CAST(s_suppkey % 180 AS DOUBLE) WHEN 1 THEN CAST(s_nationkey AS DOUBLE) END AS long FROM supplier""")
+def coord_infobox_raw(spark, sf_dir):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    fields = F.format_string("{{Infobox x\n| LatD = %s\n|latm = 30 | latNS = S\n| longd = %s\n|longEW = W}}", (k % 90).cast("string"), (k % 180).cast("string"))
+    page = F.when(k % 3 == 0, fields).when(k % 3 == 1, F.format_string("{{Infobox x\n|coord ={{Coord|%s|%s}}\n| latd = 1}}", (k % 80).cast("string"), n.cast("string"))).otherwise("{{Infobox x\n| latd =5\n| longd = 6}}")
+    return t(spark, sf_dir, "supplier").select("s_suppkey", coords.coordinate_raw(page).alias("c")).select("s_suppkey", "c.lat", "c.long")
+
+
+@query("SELECT p_partkey, 'film' AS kind, p_name AS name, p_brand AS brand, '[[' || p_type || '|x]]' AS type, 'http://x/?q=' AS url, CAST(p_size AS VARCHAR) AS sum FROM part")
 def infobox_attrs(spark, sf_dir):
-    page = F.format_string("lead {{Infobox film\n| name = %s\n| brand = %s\n|type=[[%s|x]]\n| empty =\n}} tail | name = no", "p_name", "p_brand", "p_type")
+    page = F.format_string("lead {{Infobox film\n| name = %s\n| brand = %s\n|type=[[%s|x]]\n| url = http://x/?q=\n| sum = a=b=%s\n| empty =\n}} tail | name = no", "p_name", "p_brand", "p_type", "p_size")
     box = t(spark, sf_dir, "part").select("p_partkey", markup.infobox(page).alias("b"))
     one = lambda *k: markup.first_of(F.col("b.attributes"), k)
-    return box.select("p_partkey", F.col("b.infobox_type").alias("kind"), one("title", "name").alias("name"), one("brand").alias("brand"), one("type").alias("type"))
+    return box.select("p_partkey", F.col("b.infobox_type").alias("kind"), one("title", "name").alias("name"), one("brand").alias("brand"), one("type").alias("type"), one("url").alias("url"), one("sum").alias("sum"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE year(o_orderdate) END AS release_year FROM orders")
@@ -235,7 +262,7 @@ def category_anti(spark, sf_dir):
     return category.unmatched(part_pages(spark, sf_dir), brand_list(spark), case_sensitive=False)
 
 
-@query("""SELECT c_custkey AS id, round(r / sum(r) OVER (), 10) AS page_rank, CAST(row_number() OVER (ORDER BY r DESC, c_custkey) AS INT) AS position
+@query("""SELECT c_custkey AS id, round(r / sum(r) OVER (), 10) AS page_rank, row_number() OVER (ORDER BY r DESC, c_custkey) AS position
   FROM (SELECT c_custkey, abs(c_acctbal) + 1 AS r FROM customer WHERE upper(c_mktsegment) = 'BUILDING')""")
 def category_conditional(spark, sf_dir):
     pages = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("title"), (F.abs("c_acctbal") + 1).alias("rank"))
@@ -294,18 +321,58 @@ def compare_ratio(spark, sf_dir):
     return pairs.select("s_suppkey", F.round(ratio, 6).alias("ratio"), (said == "about as").alias("alike"))
 
 
-@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS position FROM orders")
+@query(rf"""SELECT s_suppkey, said, CASE WHEN x >= y THEN n ELSE m END || ' is ' || said || CASE said WHEN 'about as' THEN ' influential as ' ELSE ' influential than ' END || CASE WHEN x >= y THEN m ELSE n END AS sentence FROM (
+  SELECT *, CASE WHEN ratio <= 1.05 THEN 'about as' WHEN ratio < 10 THEN regexp_replace(printf('%.1f', round(ratio, 1)), '\.0$', '') || 'x more'
+    ELSE CAST(CAST(round(ratio / pow(10, floor(log10(ratio)))) * pow(10, floor(log10(ratio))) AS BIGINT) AS VARCHAR) || 'x more' END AS said
+  FROM (SELECT a.s_suppkey, a.s_name AS n, b.s_name AS m, a.s_acctbal AS x, b.s_acctbal AS y, {RATIO_SQL} AS ratio FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 WHERE a.s_acctbal > 0 AND b.s_acctbal > 0))""")
+def compare_words(spark, sf_dir):
+    s = t(spark, sf_dir, "supplier").where("s_acctbal > 0")
+    pairs = s.join(s.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("other")), "s_suppkey")
+    return pairs.select("s_suppkey", search.compare(F.col("s_acctbal"), F.col("other"))[1].alias("said"), search.said_of(F.col("s_name"), F.col("s_acctbal"), F.col("name"), F.col("other")).alias("sentence"))
+
+
+@query("SELECT o_orderkey, printf(CASE WHEN x >= 0.1 THEN '%.2f' ELSE '%.3f' END, x) || '%' AS said FROM (SELECT o_orderkey, (o_orderkey % 97 + 1) / 100 AS x FROM orders)")
+def percent_influence(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", text.percent_influence(F.col("o_orderkey") % 97 + 1, F.lit(100)).alias("said"))
+
+
+@query("""SELECT category, id, position, percent_of_first FROM (SELECT c_mktsegment AS category, c_custkey AS id, CAST(row_number() OVER w AS INT) AS position,
+    CASE WHEN row_number() OVER w = 1 THEN 0.0 ELSE round(100 * c_acctbal / first_value(c_acctbal) OVER w, 8) END AS percent_of_first
+  FROM customer WINDOW w AS (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey)) WHERE position <= 100""")
+def category_tables(spark, sf_dir):
+    people = t(spark, sf_dir, "customer")
+    pages = people.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"), F.col("c_acctbal").alias("rank"))
+    lists = people.select(F.col("c_mktsegment").alias("category"), F.concat(F.lower("c_name"), F.lit(" ")).alias("title"))
+    lists = lists.union(spark.createDataFrame([("BUILDING", "no such page")], "category string, title string"))
+    tables = search.category_tables(search.title_index(pages), pages, lists, 100)
+    return tables.select("category", "id", "position", F.round("percent_of_first", 8).alias("percent_of_first"))
+
+
+@query(f"WITH {INDEX_SQL} SELECT c_custkey AS id, c_name AS title FROM customer WHERE c_custkey IN (SELECT id FROM idx WHERE key IN ('BUILDING', 'CUSTOMER#000000007'))")
+def pages_by_title(spark, sf_dir):
+    pages = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    asked = spark.createDataFrame([("building ",), ("Customer#000000007",), ("BUILDING",), ("?",)], "title string")
+    return search.pages_by_title(customer_index(spark, sf_dir), pages, asked)
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS \"order\" FROM orders QUALIFY \"order\" = 77")
+def page_by_order(spark, sf_dir):
+    rows = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("rank"))
+    return search.page_by_order(ordering.ordered(rows), 77).select("id", "order")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders")
 def external_sort(spark, sf_dir):
     return ordering.with_position(t(spark, sf_dir, "orders"), [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_orderkey", "position")
 
 
-@query('SELECT o_orderkey AS id, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS "order" FROM orders QUALIFY "order" > 20 AND "order" <= 40')
+@query('SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS "order" FROM orders QUALIFY "order" > 20 AND "order" <= 40')
 def ordered_range(spark, sf_dir):
     rows = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("rank"))
-    return ordering.order_range(ordering.ordered(rows), 20, 40).select("id", "order")
+    return ordering.leading(rows, 40, [F.desc("rank"), F.asc("id")], "order", start=20).select("id", "order")
 
 
-@query('SELECT o_orderkey AS id, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS "order" FROM orders QUALIFY "order" > 45 AND "order" <= 55')
+@query('SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS "order" FROM orders QUALIFY "order" > 45 AND "order" <= 55')
 def neighbourhood(spark, sf_dir):
     rows = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("rank"))
     return ordering.neighbourhood(ordering.ordered(rows), 50).select("id", "order")
@@ -355,3 +422,35 @@ def ordered_uniq(spark, sf_dir):
   regexp_replace(p_name || ' (' || p_brand || ')', ' *\\([^)]*\\)', '', 'g') AS plain, replace(replace('<' || p_type || '&', '&', '&amp;'), '<', '&lt;') AS safe FROM part""")
 def scalar_text(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", text.significant(F.col("p_retailprice"), 2).alias("rounded"), text.without_brackets(F.format_string("%s (%s)", "p_name", "p_brand")).alias("plain"), text.escaped_html(F.concat(F.lit("<"), "p_type", F.lit("&"))).alias("safe"))
+
+
+@query("SELECT round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS least, max(o_totalprice) AS greatest FROM orders")
+def extent(spark, sf_dir):
+    return charts.extent(t(spark, sf_dir, "orders"), "o_totalprice").withColumn("total", F.round("total", 2))
+
+
+def step_sql(ticks: int) -> str:
+    """The step that cuts high - low into about that many."""
+    p = f"pow(10, floor(log10((high - low) / {ticks})))"
+    e = f"{ticks} / (high - low) * {p}"
+    return f"{p} * CASE WHEN {e} <= 0.15 THEN 10 WHEN {e} <= 0.35 THEN 5 WHEN {e} <= 0.75 THEN 2 ELSE 1 END"
+
+
+@query(f"""WITH x AS (SELECT ln(o_totalprice) AS x FROM orders), d AS (SELECT min(x) AS low, max(x) AS high, count(*) AS total FROM x), w AS (SELECT *, {step_sql(10)} AS wide FROM d),
+  e AS (SELECT floor(low / wide) * wide AS low, ceil(high / wide) * wide AS high, total FROM w), s AS (SELECT *, {step_sql(50)} AS step FROM e),
+  r AS (SELECT *, CAST(ceil(round(low / step, 9)) AS BIGINT) AS first, CAST(floor(round(high / step, 9)) AS BIGINT) AS last FROM s),
+  c AS (SELECT least(CAST(floor(x / step) AS BIGINT) - first, last - first - 1) AS bucket, count(*) AS n FROM x, r GROUP BY 1)
+  SELECT b.bucket, round((b.bucket + first) * step, 8) AS lower, coalesce(n, 0) AS n, round(coalesce(n, 0) / total, 10) AS frequency FROM r, LATERAL (SELECT unnest(range(last - first)) AS bucket) b LEFT JOIN c ON c.bucket = b.bucket""")
+def rounded_histogram(spark, sf_dir):
+    rows = charts.rounded_histogram(t(spark, sf_dir, "orders"), "o_totalprice")
+    return rows.select("bucket", F.round("lower", 8).alias("lower"), F.col("n").cast("long").alias("n"), F.round("frequency", 10).alias("frequency"))
+
+
+@query("SELECT o_orderkey, o_orderkey & 4 <> 0 AS flagged FROM orders")
+def flag_test(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", text.has_flag(F.col("o_orderkey"), 4).alias("flagged"))
+
+
+@query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def table_lengths(spark, sf_dir):
+    return spark.createDataFrame([(name, readers.row_count(t(spark, sf_dir, name))) for name in ("orders", "lineitem")], "name string, n long")

@@ -1,8 +1,3 @@
-"""Schemas of the stages."""
+"""Schemas of the sources."""
 
 RAW_PAGE = "title STRING, id BIGINT, redirect STRUCT<_title: STRING>, revision STRUCT<text: STRING>"
-COORDINATE = "STRUCT<lat: DOUBLE, long: DOUBLE>"
-INFOBOX = "STRUCT<infobox_type: STRING, attributes: MAP<STRING, STRING>>"
-PARSED_PAGE = f"title STRING, id BIGINT, redirect_to STRING, infobox {INFOBOX}, coordinate {COORDINATE}, language_titles MAP<STRING, STRING>, text_links ARRAY<STRUCT<article_title: STRING, count: INT>>, release_year INT"
-EDGES = "src BIGINT, dst BIGINT"
-RANKS = "id BIGINT, rank DOUBLE"
