@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import decontaminate, jaccard, lattice, pii, toxicity
-from tidegraph.llm.common import shared_dir, table
+from tidegraph.llm.common import delete, scratch, shared_dir, table
 from tidegraph.llm.queries import model_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator scores below its threshold."""
+    """Documents that the toxicity operator scores below its threshold, each row by its own text. Null and empty texts have the score of a text
+    without evidence and stay; repeated rows stay or go together; an empty table gives no rows; further columns are left out."""
     docs = docs.select(*COLUMNS)
     crf = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, crf, whole=True).where("predicted = 0").select("row.*")
@@ -40,17 +41,20 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item, each row by its own text. Null and empty texts have no words and stay; repeated rows
+    stay or go together; an empty table, or benchmark, changes nothing; further columns are left out."""
     return decontaminate.match_benchmark(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), whole=True).where("not contaminated").select("row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by [EMAIL], [IP], [CARD] and [PHONE]; n_chars follows the text."""
+    """All documents, their personal data replaced by [EMAIL], [IP], [CARD] and [PHONE]; n_chars follows the text. Null texts stay null, with
+    null n_chars; repeated rows stay; an empty table gives no rows; further columns are left out."""
     return pii.mask_texts(docs, "text").select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their piece ids, checked by decoding: doc_id, source, lang, n_chars, n_pieces, ids_sha256, round_trip."""
+    """All documents with their piece ids, checked by decoding: doc_id, source, lang, n_chars, n_pieces, ids_sha256, round_trip. Null texts
+    count as empty: no pieces; repeated rows stay; an empty table gives no rows; further columns are left out."""
     encoded = lattice.encode_texts(docs.withColumn("text", F.coalesce("text", F.lit(""))), model_path(), decoded_col="decoded")
     return encoded.select(
         "doc_id", "lang", "source", "n_chars", F.size("piece_ids").cast("long").alias("n_pieces"),
@@ -70,11 +74,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet in the shared folder and read again."""
+    """All stages over documents; each result is written as Parquet in the shared folder and read again. What a stage stored on its way, and
+    the result that it read, are deleted once its own is written."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        path = f"{base}/{k}-{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
