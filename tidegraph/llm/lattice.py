@@ -167,11 +167,13 @@ def encode_units(units: DataFrame, model_path: str) -> DataFrame:
     """
     spark = units.sparkSession
     p = pieces_of(model_path)
-    table = spark.createDataFrame([(i, t) for i, t, _ in p.rows], "id int, piece string")  # as large as the model's vocabulary
+    # as large as the model's vocabulary; from Arrow, so that no Python worker passes them on
+    table = spark.createDataFrame(pa.table({"id": pa.array([i for i, _, _ in p.rows], pa.int32()), "piece": [t for _, t, _ in p.rows]}))
     reach: dict[str, int] = {}
     for _, t, _ in p.rows:
         reach[t[:3]] = max(len(t), reach.get(t[:3], 0))
-    reaches = spark.createDataFrame([(k, n) for k, n in reach.items() if len(k) == 3], "head string, reach int")
+    heads = [k for k in reach if len(k) == 3]
+    reaches = spark.createDataFrame(pa.table({"head": pa.array(heads, pa.string()), "reach": pa.array([reach[k] for k in heads], pa.int32())}))
     block = f"transform(sequence(0, (char_length(unit) - 1) div {BLOCK}), b -> named_struct('first', int(b * {BLOCK}), 'text', substring(unit, int(b * {BLOCK} + 1), {BLOCK + p.longest - 1})))"
     blocks = units.where("unit <> ''").select("key", "n", F.explode(F.expr(block)).alias("b")).select("key", "n", "b.first", "b.text")
     starts = blocks.select("key", "n", "first", "text", F.explode(F.sequence(F.lit(0), F.least(F.char_length("text"), F.lit(BLOCK)) - 1)).alias("start"))
