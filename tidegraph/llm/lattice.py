@@ -25,12 +25,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import map_batches, stored
+from tidegraph.llm.common import map_batches, release_memory, stored
 
 SPACE = "▁"
 MAX_UNITS = 4_000_000
 #: Starts of a block of a unit, and the most characters of a piece.
 BLOCK = 64
+#: Seed of Spark's xxhash64.
+SEED = 42
 UNK_PENALTY = 10.0
 
 
@@ -155,11 +157,11 @@ def distinct_units(texts: DataFrame, model_path: str, most: int = 200_000) -> Da
 
     lanes = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.when(F.char_length("unit") < BLOCK, F.col("unit")).otherwise(F.sha2("unit", 256))
-    return map_batches(texts, run, "unit string", 2 << 20).withColumn("key", key).repartition(lanes, "key").groupBy("unit", "key").agg(F.count(F.lit(1)).alias("n"))
+    return map_batches(texts, run, "unit string", 1 << 20).withColumn("key", key).repartition(lanes, "key").groupBy("unit", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def encode_units(units: DataFrame, model_path: str) -> DataFrame:
-    """key, n, ids of each distinct unit (unit, key, n): explode, equi-join, group, fold; all native. units must hold each unit once.
+    """key, hash (of the key), n, n_ids, ids of each distinct unit (unit, key, n): explode, equi-join, group, fold; all native. units must hold each unit once.
 
     A unit is cut into blocks of BLOCK starts with what the longest piece needs behind them, so that no row of a span carries a long unit.
     How many lengths are exploded at a start follows from its first three
@@ -216,7 +218,7 @@ def encode_units(units: DataFrame, model_path: str) -> DataFrame:
           'far', case when {full} then concat(s.far, {away("s.near")}) else s.far end,
           'near', array_append(case when {full} then cast(array() as array<int>) else s.near end, cast(nodes[s.at] & 16777215 as int))) end,
         s -> reverse(case when length(s.far) > 0 then concat(transform({back("s.far")}, x -> cast(x as int)), s.near) else s.near end))"""
-    return lattice.select("key", "n", F.expr(fold).alias("nodes")).select("key", "n", F.expr(path).alias("ids"))
+    return lattice.select("key", "n", F.expr(fold).alias("nodes")).select("key", F.xxhash64("key").alias("hash"), "n", F.expr(path).alias("ids")).select("key", "hash", "n", F.size("ids").alias("n_ids"), "ids")
 
 
 def key_of(unit: str) -> str:
@@ -224,35 +226,40 @@ def key_of(unit: str) -> str:
 
 
 class UnitTable:
-    """Hashes and ids of units as arrays, read from Parquet files in the shared folder."""
+    """Hashes and ids of units as arrays, read from Parquet files in the shared folder: hashes and counts first, so that all arrays are made in
+    their size."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, n_pieces: int):
         files, base = pafs.FileSystem.from_uri(path)
-        hashes, ids, sizes = [], [], []
-        for batch in pads.dataset(base, filesystem=files, format="parquet").to_batches(columns=["key", "ids"], batch_size=16384, use_threads=False, batch_readahead=1, fragment_readahead=1):
-            hashes.append(np.fromiter((xxhash.xxh3_64_intdigest(u) for u in batch.column("key").to_pylist()), np.uint64, batch.num_rows))
-            col = batch.column("ids")
-            ids.append(col.flatten().to_numpy().astype(np.int32))
-            sizes.append(np.diff(col.offsets.to_numpy()).astype(np.int32))
-        h = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        del hashes
-        ends = np.cumsum(np.concatenate([np.zeros(1, np.int32), *sizes]), dtype=np.int32)
-        self.ids = np.concatenate([np.zeros(0, np.int32), *ids])
-        del ids, sizes
-        order = np.argsort(h)
-        self.hash, self.start, self.end = h[order], ends[:-1][order], ends[1:][order]
-        pa.default_memory_pool().release_unused()
+        data = pads.dataset(base, filesystem=files, format="parquet")
+        batches = lambda *columns: data.to_batches(columns=list(columns), batch_size=16384, use_threads=False, batch_readahead=1, fragment_readahead=1)
+        n, at = data.count_rows(), 0
+        found, ends = np.empty(n, np.uint64), np.zeros(n + 1, np.int32)
+        for batch in batches("hash", "n_ids"):
+            found[at : at + batch.num_rows] = batch.column("hash").to_numpy().view(np.uint64)
+            ends[at + 1 : at + 1 + batch.num_rows] = batch.column("n_ids").to_numpy()
+            at += batch.num_rows
+        np.cumsum(ends, out=ends)
+        self.ids, at = np.empty(int(ends[-1]), np.uint16 if n_pieces <= 1 << 16 else np.int32), 0
+        for batch in batches("ids"):
+            ids = batch.column("ids").flatten().to_numpy()
+            self.ids[at : at + len(ids)] = ids
+            at += len(ids)
+        order = np.argsort(found)
+        self.hash, self.start, self.end = found[order], ends[order], ends[1:][order]
+        del found, order, ends
+        release_memory()
 
     def find(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Place of each unit in the table, and whether it is there."""
-        h = np.fromiter((xxhash.xxh3_64_intdigest(u if len(u) < BLOCK else key_of(u)) for u in units), np.uint64, len(units))
+        h = np.fromiter((xxhash.xxh64_intdigest(u if len(u) < BLOCK else key_of(u), SEED) for u in units), np.uint64, len(units))
         k = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
         return k, self.hash[k] == h if len(self.hash) else np.zeros(len(units), bool)
 
 
 @lru_cache(maxsize=1)
-def unit_table(path: str) -> UnitTable:
-    return UnitTable(path)
+def unit_table(path: str, n_pieces: int) -> UnitTable:
+    return UnitTable(path, n_pieces)
 
 
 def encode_batch(texts: pa.StringArray, p: Pieces, table: UnitTable, rest: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +273,7 @@ def encode_batch(texts: pa.StringArray, p: Pieces, table: UnitTable, rest: dict[
         start, size = np.where(there, table.start[k], 0).astype(np.int64), np.where(there, table.end[k] - table.start[k], 0).astype(np.int64)
     else:
         start, size = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
-    pool = gathered(table.ids, start, size)
+    pool = gathered(table.ids, start, size).astype(np.int32)
     start = np.cumsum(size) - size
     unknown = np.zeros(len(own), bool)
     unknown[np.repeat(np.arange(len(own)), size)[pool == p.unk_id]] = True
@@ -320,7 +327,8 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
     if n > max_units:
 
         def tail(batches):
-            p, seen = pieces_of(model_path), unit_table(path)
+            p = pieces_of(model_path)
+            seen = unit_table(path, len(p.size))
             for batch in batches:
                 units, first = cut_units(batch.column("text"), p)
                 coded = units.dictionary_encode()
@@ -341,14 +349,14 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text", ids_c
         for batch in batches:
             rest = {r["key"]: r["ids"] for x in batch.column("rest").drop_null().to_pylist() for r in x}
             texts = batch.column("row").field(place)
-            ids, at = encode_batch(texts, p, unit_table(path), rest) if path else (np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64))
+            ids, at = encode_batch(texts, p, unit_table(path, len(p.size)), rest) if path else (np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64))
             decoded = pa.nulls(len(texts), pa.string())
             if decoded_col:
                 decoded = pc.if_else(pc.is_valid(texts), decode_batch(ids, at, p), decoded)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())), decoded], names=["row", "ids", "decoded"])
 
     kept = rows.select("row", "rest")
-    out = map_batches(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, ids array<int>, decoded string", 2 << 20)
+    out = map_batches(kept, run, f"row {kept.schema['row'].dataType.simpleString()}, ids array<int>, decoded string", 1 << 20)
     more = [F.col("decoded").alias(decoded_col)] if decoded_col else []
     return out.select(*[F.col("row")[f"f{k}"].alias(c) for k, c in enumerate(fields)], F.col("ids").alias(ids_col), *more)
 
