@@ -7,13 +7,14 @@ import re
 import struct
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidegraph.llm import chat, decontaminate, jaccard, lattice, media, pii, queries, token_counts, toxicity, url_filters, warc
+from tidegraph.llm import chat, common, decontaminate, jaccard, lattice, media, pii, queries, token_counts, toxicity, url_filters, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -786,6 +787,32 @@ def test_lattice_of_a_very_long_unit(spark, model):
         assert r.piece_ids == brute_viterbi(p, r.text)
 
 
+def test_driver_gives_free_memory_of_the_c_library_back(spark):
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    resident = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) >> 10
+    made = [jvm.java.util.zip.Deflater() for _ in range(300)]
+    for k, x in enumerate(made):
+        if k % 10:
+            x.end()  # what stays keeps the pool from shrinking by itself
+    before = resident()
+    common.release_driver_memory(spark)
+    freed = before - resident()
+    for x in made[::10]:
+        x.end()
+    assert freed >= 20
+
+
+def test_driver_gives_memory_back_after_each_table_and_fit(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release_driver_memory", calls.append)
+    monkeypatch.setattr(toxicity, "release_driver_memory", calls.append)
+    common.stored(spark.range(3), "t")
+    assert len(calls) == 1
+    toxicity.train(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    assert len(calls) == 2
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     import duckdb

@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegraph.operators.storage import delete, shared_dir
@@ -36,10 +37,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it again."""
+    """Cut the lineage: write df as Parquet into the shared folder and read it again. The driver then gives its free memory back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{_within.get()}{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release_driver_memory(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -61,6 +63,23 @@ def release_memory() -> None:
         trim(0)
 
 
+def release_driver_memory(spark: SparkSession) -> None:
+    """Release the driver's Python memory, and the C library's pools in its JVM: the hundreds of threads that plan and broadcast leave
+    in them what they have freed. A JVM without the command for that (not HotSpot, or not on glibc) keeps its pools."""
+    release_memory()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # its class is not exported to Py4J: the method is taken from the public interface
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+    args = gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        invoke.invoke(server, args)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getName() != "java.lang.reflect.InvocationTargetException":
+            raise
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of each batch with about max_bytes (one row at least)."""
     for batch in batches:

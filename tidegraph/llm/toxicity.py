@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import map_batches
+from tidegraph.llm.common import map_batches, release_driver_memory
 
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 TOKEN = re.compile(r"\S+")
@@ -285,7 +285,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = ids.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).distinct().orderBy(F.xxhash64("k"), "k", "y").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).where(F.octet_length("text") <= max_text_bytes)
     rows = texts.join(F.broadcast(picked), "k").orderBy(F.xxhash64("k"), "k", "text", "y").limit(max_rows).select("text", "y").collect()
-    return fit([(r[0], r[1]) for r in rows])
+    crf = fit([(r[0], r[1]) for r in rows])
+    del rows
+    release_driver_memory(docs.sparkSession)
+    return crf
 
 
 def score_documents(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, whole: bool = False) -> DataFrame:
