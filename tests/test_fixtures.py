@@ -16,6 +16,7 @@ from tidegraph import answers, cli
 from tidegraph.functions import coords, markup, text
 from tidegraph.operators import category, charts, ordering, resolve, search
 from tidegraph.operators.pagerank import pagerank
+from tidegraph.operators.storage import stored
 from tidegraph.plans.pipelines import parse_pages, rank_pages
 from tidegraph.sources import readers, sinks
 
@@ -151,6 +152,48 @@ def test_pagerank_goldens(spark):
     assert pagerank(*(d.limit(0) for d in graph(spark, "AB", ["AB"]))).count() == 0
 
 
+def plain_pagerank(n, edges):
+    degree, r, change = [sum(a == k for a, _ in edges) for k in range(n)], [1 / n] * n, 1.0
+    while change > 1e-4:
+        raw = [0.0] * n
+        for a, b in edges:
+            raw[b] += 0.85 * r[a] / degree[a]
+        new = [x + (1 - sum(raw)) / n for x in raw]
+        change, r = sum(abs(x - y) for x, y in zip(new, r, strict=True)), new
+    return r
+
+
+@pytest.mark.parametrize("kind", ["layers", "cycle behind a path", "any"])
+def test_pagerank_steps(spark, monkeypatch, kind):
+    """Where all walks end no step follows the last of them; where they don't, the dealt edges meet ranks unmoved and unsorted."""
+    edges = {
+        "layers": [(a, b) for a in range(12) for b in (12 + a % 5, 12 + a % 3)] + [(b, 17 + b % 2) for b in range(12, 17)] + [(17, 19), (18, 19)],
+        "cycle behind a path": [(a, a + 1) for a in range(14)] + [(14, 13)], "any": [(a, (a * a + s) % 23) for a in range(23) for s in (1, 4, 9)],
+    }[kind]
+    edges, n, plans = sorted(set(edges)), 24, []
+
+    def seen(df, label, **k):
+        out = stored(df, label, **k)
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr("tidegraph.operators.pagerank.stored", seen)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {x.id: x["rank"] for x in pagerank(spark.range(n), spark.createDataFrame(edges, "src long, dst long")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert [got[i] for i in range(n)] == pytest.approx(plain_pagerank(n, edges), abs=1e-12)
+    steps = [p for label, p in plans if label == "ranks"][1:]
+    assert kind != "layers" or len(steps) == 4
+    for plan in steps:
+        lines = plan.split("== Initial Plan ==")[0].splitlines()
+        at = next(i for i, x in enumerate(lines) if "InMemoryTableScan" in x)
+        above = "".join(lines[at - 3 : at])
+        assert "SortMergeJoin" in above and "Exchange" not in above and "Sort [" not in above
+
+
 def test_category(spark, tmp_path):
     (tmp_path / "l.txt").write_bytes(b"A\r\nr\nNope\nC")
     titles = readers.read_titles(spark, str(tmp_path / "l.txt"))
