@@ -59,28 +59,31 @@ pr(it, id, rank, delta) AS (
 ranks AS (SELECT id, rank FROM pr WHERE it = (SELECT max(it) FROM pr))"""
 
 
-def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trade_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges, each once for every row that has it."""
     items, orders, suppliers = (t(spark, sf_dir, n) for n in ("lineitem", "orders", "supplier"))
     bought = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") * 4).alias("src"), (F.col("l_partkey") * 4 + 1).alias("dst"))
     made = items.select((F.col("l_partkey") * 4 + 1).alias("src"), (F.col("l_suppkey") * 4 + 2).alias("dst"))
     home = suppliers.select((F.col("s_suppkey") * 4 + 2).alias("src"), (F.col("s_nationkey").cast("long") * 4 + 3).alias("dst"))
-    return bought.union(made).union(home).distinct()
+    return bought.union(made).union(home)
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trade_links(spark, sf_dir).distinct()
 
 
-def trade_ranks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = stored(trade_edges(spark, sf_dir), "edges")
-    vertices = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    return pagerank(vertices, edges), edges
+def trade_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagerank(None, trade_links(spark, sf_dir), repeated=True)
 
 
 @query(RANK_SQL + " SELECT id, round(rank, 8) AS rank FROM ranks")
 def pagerank_edges(spark, sf_dir):
-    return trade_ranks(spark, sf_dir)[0].select("id", F.round("rank", 8).alias("rank"))
+    return trade_ranks(spark, sf_dir).select("id", F.round("rank", 8).alias("rank"))
 
 
 @query(RANK_SQL + ' SELECT id, round(round(rank, 10), 8) AS rank, row_number() OVER (ORDER BY round(rank, 10) DESC, id) AS "order" FROM ranks QUALIFY "order" <= 100')
 def pagerank_topk_order(spark, sf_dir):
-    ranked = trade_ranks(spark, sf_dir)[0].withColumn("rank", F.round("rank", 10))
+    ranked = trade_ranks(spark, sf_dir).withColumn("rank", F.round("rank", 10))
     return ordering.leading(ranked, 100, [F.desc("rank"), F.asc("id")], "order").select("id", F.round("rank", 8).alias("rank"), "order")
 
 
